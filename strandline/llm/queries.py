@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from strandline.llm import media, mixing, near, packing, quality
+from strandline.llm import html, licenses, media, mixing, near, neighbours, packing, pii, quality, rollups
 
 QUERIES = {
     "op1_media": media.op1_media,
+    "op2_licenses": licenses.op2_licenses,
     "op3_packing": packing.op3_packing,
     "op4_quality": quality.op4_quality,
+    "op5_token_counts": rollups.op5_token_counts,
     "op6_mixing": mixing.op6_mixing,
+    "op7_html": html.op7_html,
+    "op8_neighbours": neighbours.op8_neighbours,
     "op9_near": near.op9_near,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLE_SQL = {"op6_mixing": mixing.OP6_SQL}
