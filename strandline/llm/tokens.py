@@ -3,11 +3,12 @@
 ``WordTokenizer.encode`` gives exactly the ids of the tokenizer file. Where a text
 has only characters for which normalisation and splitting are known to act on each
 word alone, words are split by the file's own pattern and each distinct word is
-encoded once; any other text goes through the tokenizer as a whole.
+encoded once, by the file's merges; any other text goes through the tokenizer as a whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -28,6 +29,62 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Marks a word's end in bytes; no UTF-8 text has it.
+END = b"\xff"
+
+
+def _merger(path: str):
+    """The file's merges as ranks over bytes: a function from a word's bytes and END to
+    ranks, and the id of each rank. Joining the last byte with END comes before all merges."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    byte = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in shown)}
+
+    def raw(symbol: str) -> bytes:
+        last = symbol.endswith("</w>")
+        return bytes(byte[c] for c in symbol.removesuffix("</w>")) + END * last
+
+    ranks = {bytes([b]): b for b in range(256)} | {bytes([b]) + END: 256 + b for b in range(256)}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ranks |= {raw(left) + raw(right): 512 + n for n, (left, right) in enumerate(pairs)}
+    id_of = np.zeros(512 + len(pairs), "<u4")
+    for symbol, i in model["vocab"].items():
+        if (rank := ranks.get(raw(symbol) if all(c in byte for c in symbol.removesuffix("</w>")) else b"")) is not None:
+            id_of[rank] = i
+    return tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece, id_of
+
+
+class Words(dict):
+    """Ids, as bytes, of words as they stand between white space; unseen ones are encoded."""
+
+    def __init__(self, path: str, limit: int):
+        super().__init__()
+        merge, id_of = _merger(path)
+        self.merge, self.id_bytes, self.limit = merge, [i.tobytes() for i in id_of], limit
+        self.pieces: dict[str, bytes] = {}  # of what the pattern makes of words
+
+    def piece(self, p: str) -> bytes:
+        data = self.pieces.get(p)
+        if data is None:
+            ids = self.id_bytes
+            data = self.pieces[p] = b"".join([ids[r] for r in self.merge(p.encode("utf-8") + END)])
+        return data
+
+    def __missing__(self, word: str) -> bytes:
+        low = word.lower()
+        data = self[word] = self.piece(low) if low.isalpha() else b"".join([self.piece(p) for p in _PIECES.findall(low)])
+        return data
+
+    def trim(self) -> None:
+        if len(self) > self.limit:
+            self.clear()
+        if len(self.pieces) > self.limit:
+            self.pieces.clear()
+
+
 class WordTokenizer:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
@@ -37,39 +94,14 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
-        words = self.whole.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(words.values()) + 1, bool)
-        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}  # of words as they stand between white space
-        self.pieces: dict[str, bytes] = {}  # of what the pattern makes of those
-        self.limit = cache
-
-    def _learn(self, pieces: list[str]) -> None:
-        # encoded in one go, set apart by spaces; each word's last id is one that ends words
-        ids = np.array(self.whole.encode(" ".join(pieces), add_special_tokens=False).ids, "<u4")
-        end = np.flatnonzero(self.ends[ids]) + 1
-        data, at = ids.tobytes(), 0
-        for piece, stop in zip(pieces, (end * 4).tolist(), strict=True):
-            self.pieces[piece] = data[at:stop]
-            at = stop
+        self.words = Words(path, cache)
 
     def encode(self, text: str) -> bytes:
         if _OTHER.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, cache = text.split(), self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            if len(cache) > self.limit:
-                cache.clear()
-            new = {w: _PIECES.findall(w.lower()) for w in words if w not in cache}
-            if len(self.pieces) > self.limit:
-                self.pieces.clear()
-            if unknown := list({p for own in new.values() for p in own if p not in self.pieces}):
-                self._learn(unknown)
-            for w, own in new.items():
-                cache[w] = b"".join([self.pieces[p] for p in own])
-            return b"".join([cache[w] for w in words])
+        words = self.words
+        words.trim()
+        return b"".join([words[w] for w in text.split()])
 
     def count(self, text: str) -> int:
         return len(self.encode(text)) // 4
