@@ -50,7 +50,7 @@ TEMPLATES = {
 class Words:
     """64-bit hashes of words, kept for words seen before."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 200_000):
         self.known: dict[str, int] = {}
         self.limit = limit
 

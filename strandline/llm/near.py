@@ -52,7 +52,7 @@ def _odd(n: int, seed: str) -> np.ndarray:
 class Shingler:
     """Shingle sets and MinHash signatures of texts."""
 
-    def __init__(self, cache: int = 500_000):
+    def __init__(self, cache: int = 200_000):
         self.words: dict[str, int] = {}
         self.limit = cache
         self.place = _odd(SHINGLE, "place")

@@ -20,7 +20,7 @@ PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Anything but printable ASCII, tab, line feed, carriage return and Latin letters up to U+024F.
 _OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]|İ")
 _PIECES = regex.compile(PIECE)
-CACHE = 500_000
+CACHE = 200_000
 
 
 def default_path(name: str = "word_bpe_49k.json") -> str:
