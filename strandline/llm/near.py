@@ -156,7 +156,7 @@ def _rounds(key: tuple, side: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield i, np.arange(i + 1, len(side))
     else:
         right = np.flatnonzero(side == key[2])
-        for i in np.flatnonzero(side == key[1]):
+        for i in np.flatnonzero(side == key[1]) if len(right) else ():
             yield i, right
 
 
