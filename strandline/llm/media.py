@@ -20,6 +20,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,6 +144,8 @@ def tracks(data: bytes) -> list[dict]:
             t["codec"] = data[at + 12 : at + 16].decode("latin-1")
         elif kind == b"stsz":
             fixed, n = struct.unpack_from(">II", data, at + 4)
+            if fixed * n > len(data):
+                raise ValueError("samples beyond the end")
             t["size"] = np.full(n, fixed, np.int64) if fixed else _table(data, at, end, ">u4", 1, 8)[:, 0]
         elif kind == b"stts":
             t["stts"] = _table(data, at, end, ">u4", 2)
@@ -155,10 +158,12 @@ def tracks(data: bytes) -> list[dict]:
     for t in found:
         size, runs, chunks = t["size"], t["stsc"], t["chunks"]
         last = np.append(runs[1:, 0], len(chunks) + 1)
+        if (last < runs[:, 0]).any() or int(t["stts"][:, 0].sum()) != len(size):
+            raise ValueError("sample tables disagree")
         in_chunk = np.repeat(runs[:, 1], last - runs[:, 0])
-        chunk = np.repeat(np.arange(len(chunks)), in_chunk)
-        if len(chunk) != len(size):
+        if len(in_chunk) != len(chunks) or int(in_chunk.sum()) != len(size):
             raise ValueError("sample tables disagree")
+        chunk = np.repeat(np.arange(len(chunks)), in_chunk)
         before = np.cumsum(size) - size
         first = np.cumsum(in_chunk) - in_chunk
         t["offset"] = chunks[chunk] + before - before[first[chunk]] if len(size) else before
@@ -184,7 +189,7 @@ def probe(data: bytes | None) -> dict:
             "codec": t["codec"], "kind": t["kind"], "timescale": t["timescale"], "duration": t["duration"], "samples": len(t["size"]),
             "key_start": t["offset"][key], "key_bytes": t["size"][key], "key_time": t["time"][key], "error": None,
         }
-    except (ValueError, KeyError, IndexError, struct.error, OverflowError, MemoryError) as e:
+    except (ValueError, KeyError, IndexError, TypeError, struct.error, OverflowError, MemoryError) as e:
         return {"codec": None, "kind": None, "timescale": None, "duration": None, "samples": None, "key_start": [], "key_bytes": [], "key_time": [], "error": str(e) or type(e).__name__}
 
 
@@ -209,7 +214,7 @@ def mux_column(docs: DataFrame, text: str = "text", out: str = "media") -> DataF
     out = store.free_name(docs, out)
 
     @F.pandas_udf("binary")
-    def udf(s):
+    def udf(s: pd.Series) -> pd.Series:
         return s.map(lambda x: mux(pad(x.encode("utf-8") if x is not None else b"")))
 
     return docs.withColumn(out, udf(store.col(text)))
@@ -217,8 +222,6 @@ def mux_column(docs: DataFrame, text: str = "text", out: str = "media") -> DataF
 
 def probe_column(df: DataFrame, media: str = "media", out: str = "probe") -> DataFrame:
     """``df`` with a struct column ``out``: codec, duration, keyframe byte ranges."""
-    import pandas as pd
-
     out = store.free_name(df, out)
 
     @F.pandas_udf(_PROBE)
