@@ -5,7 +5,7 @@ window of ``WINDOW`` hashes is kept, and an inverted index maps it to the templa
 its place. A text that shares ``GRAM + WINDOW - 1`` words in a row with a template
 shares a fingerprint, so every hash of a text is looked up. Hits on near diagonals form
 a candidate, which a banded local alignment of the two word sequences scores: matches,
-mismatches and gaps within ``BAND`` words of the diagonal. A match is reported with the
+mismatches and gaps within ``BAND`` words of the diagonal (fewer for short templates). A match is reported with the
 share of the template's words that it covers and its span in the text.
 
 The templates' index is bounded by the template list and travels with each task; texts
@@ -112,17 +112,23 @@ class Index:
         return np.column_stack([self.where[row], np.repeat(at, n)])
 
 
-def align(template: np.ndarray, text: np.ndarray, diagonal: int) -> tuple[int, int, int, int]:
-    """Best local alignment within BAND of ``text place - template place = diagonal``:
+def band_of(template: np.ndarray) -> int:
+    """The band's half width: BAND, or less for templates of few words, so that a second
+    occurrence lies outside it."""
+    return max(1, min(BAND, len(template) // 4))
+
+
+def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int, int]:
+    """Best local alignment within ``band`` of ``text place - template place = diagonal``:
     score, matched words, first and last text place (end exclusive)."""
-    width = 2 * BAND + 1
+    width = 2 * band + 1
     prev = [(0, 0, -1)] * (width + 1)  # score, matches, start
     best = (0, 0, 0, 0)
     for i in range(len(template)):
         row = [(0, 0, -1)] * (width + 1)
         left = (0, 0, -1)
         for k in range(width):
-            j = i + diagonal + k - BAND
+            j = i + diagonal + k - band
             if j < 0 or j >= len(text):
                 left = (0, 0, -1)
                 continue
@@ -160,15 +166,16 @@ def scan(text: str, index: Index, words: Words, coverage: float = COVERAGE) -> l
     for t, p, q in hits[order].tolist():
         d = q - p
         # hits on diagonals that one band covers and within one template's length are one candidate
-        if last and last[0] == t and d - last[1] <= BAND // 2:
+        if last and last[0] == t and d - last[1] <= band_of(index.words[t]):
             continue
         last = (t, d)
         candidates.add((t, d))
     rows = []
     for t, d in candidates:
         w = index.words[t]
-        lo, hi = max(0, d - BAND), min(len(h), d + len(w) + BAND)
-        score, matched, a, b = align(w, h[lo:hi], d - lo)
+        band = band_of(w)
+        lo, hi = max(0, d - band), min(len(h), d + len(w) + band)
+        score, matched, a, b = align(w, h[lo:hi], d - lo, band)
         if score > 0 and matched >= coverage * len(w):
             rows.append((matched, lo + a, lo + b, index.names[t], len(w)))
     rows.sort(key=lambda r: (-r[0], r[1], r[3]))
