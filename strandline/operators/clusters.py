@@ -112,7 +112,7 @@ def overlap_edges(prs: DataFrame, nonreciprocal: bool = False, bin_width: int =
 
 def members(prs: DataFrame, edges: DataFrame) -> DataFrame:
     """pr* with ``cluster_id``, the least name of the pair's connected component."""
-    roots = connected_components(edges).select(C("id").alias("name"), C("root").alias("cluster_id"))
+    roots = connected_components(edges, loops=False).select(C("id").alias("name"), C("root").alias("cluster_id"))
     return prs.join(roots, "name", "left").withColumn("cluster_id", F.coalesce("cluster_id", "name"))
 
 

@@ -1,5 +1,7 @@
 """Connected components by alternating star operations on an edge table.
 
+Before the first round every partition replaces its own edges by stars (a union-find over
+its vertices), as partial sums do before a shuffle, so dense groups are sent on as trees.
 Each round hangs every vertex's larger neighbours (large star), then its smaller
 neighbours and itself (small star), under the smallest vertex it knows of. Rounds
 grow with the logarithm of a component's diameter, the edge count does not grow, and
@@ -9,12 +11,50 @@ component. Rounds are written to the shared work folder, which cuts lineage.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline import work
 
 MAX_ROUNDS = 60
+HELD = 1_000_000  # vertices that a partition's union-find holds before it starts anew
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A star for every connected set of the edges seen, in place of those edges."""
+    root: dict = {}
+    schema = None
+
+    def find(a):
+        top = a
+        while root[top] != top:
+            top = root[top]
+        while root[a] != top:
+            root[a], a = top, root[a]
+        return top
+
+    def out():
+        ends = [(a, find(a)) for a in root]
+        ends = [e for e in ends if e[0] != e[1]]
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], schema.field(k).type) for k in (0, 1)], names=["u", "v"])
+
+    for b in batches:
+        schema = b.schema
+        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            a = find(u) if u in root else root.setdefault(u, u)
+            c = find(v) if v in root else root.setdefault(v, v)
+            if a < c:
+                root[c] = a
+            elif c < a:
+                root[a] = c
+        if len(root) > HELD:
+            yield out()
+            root.clear()
+    if root:
+        yield out()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -30,15 +70,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.unionByName(least.withColumnRenamed("m", "v")).distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, loops: bool = True) -> DataFrame:
     """(id, root) for every vertex of ``edges`` (u, v); root is the least id of its component.
 
     Vertices of any orderable type. Loops and repeated edges are allowed, rows with a
-    null end are ignored, and vertices without edges are the caller's to add.
+    null end are ignored, and vertices without edges are the caller's to add. ``edges``
+    is read once more for vertices that have only loops, unless ``loops`` is False.
     """
     edges = edges.select("u", "v").where(F.col("u").isNotNull() & F.col("v").isNotNull())
-    loops = edges.where("u = v").select(F.col("u").alias("id")).distinct()
-    now = work.materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    stars = edges.where("u <> v").mapInArrow(_stars, edges.schema)
+    now = work.materialize(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     for k in range(MAX_ROUNDS):
         now = work.materialize(_small_star(_large_star(now)), f"stars-{k}")
@@ -50,5 +91,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
     leaves = now.select(F.col("u").alias("id"), F.col("v").alias("root"))
     roots = now.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("root"))
-    alone = loops.join(leaves.select("id").unionByName(roots.select("id")), "id", "left_anti").select("id", F.col("id").alias("root"))
+    if not loops:
+        return leaves.unionByName(roots)
+    looped = edges.where("u = v").select(F.col("u").alias("id")).distinct()
+    alone = looped.join(leaves.select("id").unionByName(roots.select("id")), "id", "left_anti").select("id", F.col("id").alias("root"))
     return leaves.unionByName(roots).unionByName(alone)

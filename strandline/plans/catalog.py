@@ -88,9 +88,9 @@ def pairs_density_cap(spark, sf):
     return clusters.density_cap(_prs(spark, sf), 12).select("name")
 
 
-@query(sql(["prs"], "SELECT name, x, y FROM prs WHERE chr_l = 1 AND chr_r = 2"))
+@query(sql(["prs"], "SELECT name, x, y FROM prs WHERE chr_l = 2 AND chr_r = 3"))
 def pairs_of_chromosomes(spark, sf):
-    return filtering.chromosome_pair(_prs(spark, sf), 1, 2).select("name", "x", "y")
+    return filtering.chromosome_pair(_prs(spark, sf), 2, 3).select("name", "x", "y")
 
 
 @query(sql(["pr"], "SELECT max(lmax) AS max_lmax FROM pr"))
