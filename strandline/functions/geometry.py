@@ -10,9 +10,11 @@ minima of the pairs' own bounds, so a cluster's region is an ordinary aggregatio
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.once import with_once
+
 C = F.col
 #: The six bounds of a region: a in [a_lo, a_hi], b in [b_lo, b_hi], s in [s0, s1]. A null box bound is open.
 BOUNDS = ("a_lo", "a_hi", "b_lo", "b_hi", "s0", "s1")
@@ -145,17 +147,18 @@ def region_box(same: Column | None = None) -> dict[str, Column]:
     }
 
 
-def region_polygon() -> Column:
-    """The region's corners, counter-clockwise from the least (b, a): array of (a, b).
+def region_polygon(df: DataFrame, out: str = "polygon") -> DataFrame:
+    """Adds the region's corners, counter-clockwise from the least (b, a): array of (a, b);
+    null if the region has no point.
 
     The six half-planes meet in at most six corners; each pair of adjacent bounds gives
     one, kept if it lies in all of them. Corners repeat where bounds coincide, so they
-    are made distinct and ordered by angle around their mean.
+    are made distinct and ordered by angle around their mean. Each step is worked out
+    once per row.
     """
-    same = C("same")
-    k = closed_bounds(same)
-    a_lo, a_hi, b_lo, b_hi = k["a_lo"], k["a_hi"], k["b_lo"], k["b_hi"]
-    s0, s1 = C("s0"), C("s1")
+    same, s0, s1 = C("same"), C("s0"), C("s1")
+    df = with_once(df, {f"_c{k}": v for k, v in closed_bounds().items()})
+    a_lo, a_hi, b_lo, b_hi = (C(f"_c{k}") for k in ("a_lo", "a_hi", "b_lo", "b_hi"))
 
     def point(a, b):
         return F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
@@ -173,15 +176,19 @@ def region_polygon() -> Column:
         s = F.when(same, p["a"] + p["b"]).otherwise(p["b"] - p["a"])
         return p["a"].between(a_lo, a_hi) & p["b"].between(b_lo, b_hi) & s.between(s0, s1)
 
-    kept = F.array_distinct(F.filter(F.array(*points), inside))
-    n = F.size(kept).cast("double")
-    mean_a = F.aggregate(kept, F.lit(0.0), lambda t, p: t + p["a"]) / n
-    mean_b = F.aggregate(kept, F.lit(0.0), lambda t, p: t + p["b"]) / n
-    keyed = F.array_sort(F.transform(kept, lambda p: F.struct(F.atan2(p["b"] - mean_b, p["a"] - mean_a).alias("k"), p["a"].alias("a"), p["b"].alias("b"))))
-    ring = F.transform(keyed, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))
-    least = F.array_min(F.transform(ring, lambda p: F.struct(p["b"].alias("b"), p["a"].alias("a"))))
-    first = F.array_position(ring, F.struct(least["a"].alias("a"), least["b"].alias("b"))).cast("int")
-    return F.when(n > 0, F.concat(F.slice(ring, first, F.size(ring)), F.slice(ring, F.lit(1), first - 1)))
+    df = with_once(df, {"_points": F.array(*points)})
+    df = with_once(df, {"_points": F.array_distinct(F.filter("_points", inside))})
+    n = F.size("_points").cast("double")
+    total_a = F.aggregate("_points", F.lit(0.0), lambda t, p: t + p["a"])
+    total_b = F.aggregate("_points", F.lit(0.0), lambda t, p: t + p["b"])
+    df = with_once(df, {"_ma": total_a / F.nullif(n, F.lit(0.0)), "_mb": total_b / F.nullif(n, F.lit(0.0))})
+    keyed = F.transform("_points", lambda p: F.struct(F.atan2(p["b"] - C("_mb"), p["a"] - C("_ma")).alias("k"), p["a"].alias("a"), p["b"].alias("b")))
+    df = with_once(df, {"_ring": F.transform(F.array_sort(keyed), lambda p: point(p["a"], p["b"]))})
+    df = with_once(df, {"_least": F.array_min(F.transform("_ring", lambda p: F.struct(p["b"].alias("b"), p["a"].alias("a"))))})
+    df = with_once(df, {"_first": F.array_position("_ring", point(C("_least.a"), C("_least.b"))).cast("int")})
+    ring = F.concat(F.slice("_ring", C("_first"), F.size("_ring")), F.slice("_ring", F.lit(1), C("_first") - 1))
+    extra = [f"_c{k}" for k in ("a_lo", "a_hi", "b_lo", "b_hi")] + ["_points", "_ma", "_mb", "_ring", "_least", "_first"]
+    return with_once(df, {out: F.when(F.size("_ring") > 0, ring)}).drop(*extra)
 
 
 def in_region(a: Column, b: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strandline.functions import geometry as g
 from strandline.functions.once import with_once
 from strandline.operators.components import connected_components
+from strandline.operators.depth import range_join
 
 C = F.col
 BIN = 512
@@ -110,6 +111,16 @@ def overlap_edges(prs: DataFrame, nonreciprocal: bool = False, bin_width: int =
     return p.join(q, cond & test).select(C("p_name").alias("u"), C("q_name").alias("v"))
 
 
+def box_edges(boxes: DataFrame) -> DataFrame:
+    """(u, v) by name, u < v: interval rows (name, chr, a_lo, a_hi, b_lo, b_hi, is_inversion)
+    of one chromosome and kind whose boxes overlap in both axes, closed."""
+    b = boxes.withColumn("kind", F.concat_ws(":", C("chr").cast("string"), C("is_inversion").cast("string")))
+    b = b.select("kind", "name", C("a_lo").alias("start"), C("a_hi").alias("end"), "b_lo", "b_hi")
+    met = range_join(b, b, "closed", key="kind", levels=4)
+    both = (C("name") < C("r_name")) & (C("b_lo") <= C("r_b_hi")) & (C("r_b_lo") <= C("b_hi"))
+    return met.where(both).select(C("name").alias("u"), C("r_name").alias("v"))
+
+
 def members(prs: DataFrame, edges: DataFrame) -> DataFrame:
     """pr* with ``cluster_id``, the least name of the pair's connected component."""
     roots = connected_components(edges, loops=False).select(C("id").alias("name"), C("root").alias("cluster_id"))

@@ -191,7 +191,7 @@ HEADERS = {
 
 
 def with_polygons(clusters: DataFrame) -> DataFrame:
-    out = clusters.withColumn("polygon", F.when(C("localization") > 0, g.region_polygon()))
+    out = g.region_polygon(clusters).withColumn("polygon", F.when(C("localization") > 0, C("polygon")))
     return out if "corners" in out.columns else out.withColumn("corners", F.lit(None).cast("array<struct<a:bigint,b:bigint>>"))
 
 

@@ -219,6 +219,30 @@ def test_sam(spark, tmp_path):
         text.read_sam(spark, str(tmp_path / "a.sam"), "strict")[0].collect()
 
 
+def test_interval_boxes(spark, tmp_path):
+    (tmp_path / "i.txt").write_text("chr1 100 5000\n1 150 5050 x y\n2 100 5000\n1 900 5000\n")
+    boxes = text.read_intervals(spark, str(tmp_path / "i.txt"), 200).withColumn("name", F.concat_ws("-", "chr", "start"))
+    assert [tuple(r) for r in clusters.box_edges(boxes).collect()] == [("1-100", "1-150")]
+    (tmp_path / "bad.txt").write_text("1 9 5\n")
+    with pytest.raises(Exception, match="not below"):
+        text.read_intervals(spark, str(tmp_path / "bad.txt")).collect()
+
+
+def test_metadata_lines(spark):
+    bounds = spark.createDataFrame([("lib", 100, 200, 150, 10)], "library string, lmin long, lmax long, mean long, std long")
+    assert text.library_info(bounds).first()[0] == "lib\t100\t200\t150\t10"
+    assert [r[0] for r in text.batch_manifest(bounds, "out", ("deletion",)).collect()] == ["out_lib.deletion\tPR\t100\t200"]
+    depth_row = spark.createDataFrame([(5, 250.5, 50.0, 0.25)], "n long, lavg double, read_len double, lambda double")
+    assert [r[0] for r in text.depth_manifest(depth_row, "out").collect()] == ["ConcordantFile: out_all.concordant", "Lavg: 250.5", "ReadLen: 50.0", "Lambda: 0.25"]
+
+
+def test_coverage_lines(spark, tmp_path):
+    row = [("c28", "D", 1, -1.72921e8, -1.48652e10, 40688, 39764630, 37524588, 0, -1.0, 0.0, 1)]
+    df = spark.createDataFrame(row, "cluster_id string, type string, num_prs long, log_p_variant double, log_p_novariant double, best_a long, best_b long, cov_l long, cov_r long, map_l double, map_r double, code int")
+    text.coverage_lines(df).write.text(str(tmp_path / "cov"))
+    assert [tuple(r) for r in text.read_coverage(spark, str(tmp_path / "cov")).collect()] == row
+
+
 def test_params():
     p = text.parse_params(["# c", "Lavg: 300", "ReadLen: 60", "Lambda: 0.02", "Tolerance: 0.001 # x", "Other: 1"], scoring.ScoreParams)
     assert (p.lavg, p.read_len, p.lam, p.tolerance) == (300, 60, 0.02, 0.001)
