@@ -39,7 +39,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
 TOLERANCE = 1e-7
 STEP_BANDS = 8  # bands compared at once
-BLOCK = 512  # texts of a block
+BLOCK = 256  # texts of a block
 HASHES = BANDS * ROWS
 _MASK = (1 << 64) - 1
 
