@@ -172,7 +172,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 raw = text.as_buffer().to_pybytes()
                 tid = hashlib.md5(raw).digest()
                 if tid not in seen:
-                    s = made.shingles(raw.decode("utf-8"))
+                    s = made.shingles(raw.decode("utf-8", "replace"))
                     seen[tid] = made.signature(s).tobytes() if len(s) else None
                 if seen[tid] is not None:
                     ids.append(doc_id)
