@@ -100,11 +100,13 @@ def overlap_edges(prs: DataFrame, nonreciprocal: bool = False, bin_width: int =
     p, q = side(prs, "p_"), side(prs if other is None else other, "q_")
     on = [C("p_" + k) == C("q_" + k) for k in ("chr_l", "chr_r", "same", "bin")]
     once = C("p_bin") == F.floor(F.greatest("p_a0", "q_a0") / F.lit(bin_width))
-    test = once & g.overlaps("p_", "q_") & g.kinds_may_meet("p_", "q_", C("p_chr_l") == C("p_chr_r"))
+    # cheap tests first: they spare most candidates the geometry
+    test = once & g.kinds_may_meet("p_", "q_", C("p_chr_l") == C("p_chr_r"))
     if other is None:
         test = test & (C("p_name") < C("q_name"))
     if nonreciprocal:
         test = test & g.orientations_match("p_", "q_")
+    test = test & g.overlaps("p_", "q_")
     cond = on[0]
     for c in on[1:]:
         cond = cond & c
