@@ -70,6 +70,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hung.unionByName(least.withColumnRenamed("m", "v")).distinct()
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every vertex hangs under one root, and no root under another. Edges lead
+    from greater to lesser ids, so a root is then the least of its component."""
+    twice = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    chained = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi")
+    return twice.isEmpty() and chained.isEmpty()
+
+
 def connected_components(edges: DataFrame, loops: bool = True) -> DataFrame:
     """(id, root) for every vertex of ``edges`` (u, v); root is the least id of its component.
 
@@ -80,15 +88,12 @@ def connected_components(edges: DataFrame, loops: bool = True) -> DataFrame:
     edges = edges.select("u", "v").where(F.col("u").isNotNull() & F.col("v").isNotNull())
     stars = edges.where("u <> v").mapInArrow(_stars, edges.schema)
     now = work.materialize(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
     for k in range(MAX_ROUNDS):
-        now = work.materialize(_small_star(_large_star(now)), f"stars-{k}")
-        row = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if (row["n"], row["x"]) == mark:
+        if _all_stars(now):
             break
-        mark = (row["n"], row["x"])
+        now = work.materialize(_small_star(_large_star(now)), f"stars-{k}")
     else:
-        raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
+        raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
     leaves = now.select(F.col("u").alias("id"), F.col("v").alias("root"))
     roots = now.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("root"))
     if not loops:
