@@ -116,9 +116,11 @@ def survivors(sig: np.ndarray, others: np.ndarray, band: int, fewest: np.ndarray
         same = others[alive, lo:hi] == sig[lo:hi]
         matches = matches + same.sum(1)
         ok = matches >= fewest[hi]
+        shared = same.reshape(len(alive), -1, ROWS).all(2)
         if band > first:  # an earlier shared band has this pair
-            whole = same.reshape(len(alive), -1, ROWS).all(2)[:, : band - first]
-            ok &= ~whole.any(1)
+            ok &= ~shared[:, : band - first].any(1)
+        if first <= band < first + STEP_BANDS:  # equal keys of different bands are no bucket
+            ok &= shared[:, band - first]
         alive, matches = alive[ok], matches[ok]
         if not len(alive):
             break
