@@ -379,20 +379,46 @@ FROM (SELECT *, floor(n / (0.7*uniq + 0.3) + 0.5) AS sc, CAST(b_min - a_max + 25
 """
 
 
-@query(sql(["clusters", "concordant", "uniqueness"], f"SELECT cluster_id, CAST(n AS BIGINT) AS cov_l, round(uniq, 6) AS map_l, a_max AS best_a, b_min AS best_b, round(CASE WHEN sc >= 4*0.002*len AND 0.002*len >= 100 THEN -4e8 ELSE greatest(d_hom+hom, d_het+het) - (d_none+err) END, 4) AS llr FROM ({_CODE1})"))
+_INTERVAL_LLR = f"SELECT cluster_id, CAST(n AS BIGINT) AS cov_l, round(uniq, 6) AS map_l, a_max AS best_a, b_min AS best_b, round(CASE WHEN sc >= 4*0.002*len AND 0.002*len >= 100 THEN -4e8 ELSE greatest(d_hom+hom, d_het+het) - (d_none+err) END, 4) AS llr FROM ({_CODE1})"
+
+
+@query(sql(["clusters", "concordant", "uniqueness"], _INTERVAL_LLR))
 def score_intervals(spark, sf):
     _, s = _scored(spark, sf)
     # a mean depth under 100 with coverage in the far tail is rejected too; see score_points
     return s.where("code = 1").select("cluster_id", "cov_l", F.round("map_l", 6).alias("map_l"), "best_a", "best_b", F.round("llr", 4).alias("llr"))
 
 
-@query()
+def _points_sql() -> str:
+    """Every point (a, b) of every region, scored by depth at a and at b."""
+    hom, het, err = "n*ln(0.01)", _pois("0.001", "250.0", "n"), _pois("0.002", "250.0", "n")
+    size = "(CASE WHEN type IN ('IR', 'TR+', 'TR-') THEN 300.0 ELSE 150.0 END)"
+    return f"""
+SELECT cluster_id, any_value(type) AS type, CASE WHEN bool_or(beyond) THEN any_value(a_max) ELSE arg_min(a, (-diff, a, b)) END AS best_a,
+  CASE WHEN bool_or(beyond) THEN any_value(b_min) ELSE arg_min(b, (-diff, a, b)) END AS best_b, round(CASE WHEN bool_or(beyond) THEN -4e8 ELSE max(diff) END, 4) AS llr
+FROM (
+  WITH c0 AS MATERIALIZED (
+    SELECT *, num_prs*ln(0.01) AS d_none, {_pois("0.002", size, "num_prs")} AS d_hom, {_pois("0.001", size, "num_prs")} AS d_het FROM clusters
+    WHERE num_prs >= 4 AND area > 0 AND type <> 'V' AND (chr_l <> chr_r OR type IN ('I+', 'I-', 'IR') OR b_min - a_max < 1000)),
+  pa AS MATERIALIZED (SELECT cluster_id, chr_l AS chr, unnest(generate_series(a_min, a_max)) AS pos FROM c0),
+  pb AS MATERIALIZED (SELECT cluster_id, chr_r AS chr, unnest(generate_series(b_min, b_max)) AS pos FROM c0),
+  cov AS MATERIALIZED (SELECT p.chr, p.pos, count(f_start) AS n FROM (SELECT chr, pos FROM pa UNION SELECT chr, pos FROM pb) p LEFT JOIN concordant f ON f.chr = p.chr AND f_start <= pos AND f_end >= pos GROUP BY 1, 2),
+  sa AS MATERIALIZED (SELECT cluster_id, pos AS a, n AS na, {hom} - {err} AS hom_a, {het} - {err} AS het_a FROM pa JOIN cov USING (chr, pos)),
+  sb AS MATERIALIZED (SELECT cluster_id, pos AS b, n AS nb, {hom} - {err} AS hom_b, {het} - {err} AS het_b FROM pb JOIN cov USING (chr, pos))
+  SELECT c.cluster_id, type, a_max, b_min, a, b, greatest(d_hom + hom_a + hom_b - d_none, d_het + het_a + het_b - d_none) AS diff,
+    1 - exp(-0.004) * CASE na + nb WHEN 0 THEN 1.0 WHEN 1 THEN 1.004 ELSE 1.004008 END < 0.0001 AS beyond
+  FROM c0 c JOIN sa ON sa.cluster_id = c.cluster_id JOIN sb ON sb.cluster_id = c.cluster_id
+  WHERE CASE WHEN same THEN a + b ELSE b - a END BETWEEN s0 AND s1)
+GROUP BY cluster_id"""
+
+
+@query(sql(["clusters", "concordant"], _points_sql()))
 def score_points(spark, sf):
     _, s = _scored(spark, sf)
-    return s.where("code = 0").select("cluster_id", "type", "best_a", "best_b", "cov_l", "cov_r", F.round("llr", 4).alias("llr"))
+    return s.where("code = 0").select("cluster_id", "type", "best_a", "best_b", F.round("llr", 4).alias("llr"))
 
 
-@query()
+@query(sql(["clusters", "concordant", "uniqueness"], f"SELECT cluster_id, 1 AS code, llr FROM ({_INTERVAL_LLR}) WHERE llr >= 0 UNION ALL SELECT cluster_id, 0, llr FROM ({_points_sql()}) WHERE llr >= 0"))
 def score_filtered(spark, sf):
     return scoring.llr_filter(_scored(spark, sf)[1], 0.0).select("cluster_id", "code", F.round("llr", 4).alias("llr"))
 
@@ -500,7 +526,15 @@ def assignment(spark, sf):
 # --- pruning, splitting, pipelines -----------------------------------------------------
 
 
-@query()
+_REDUNDANT = """
+SELECT p.cluster_id AS u, q.cluster_id AS v FROM clusters p JOIN clusters q ON p.chr_l = q.chr_l AND p.chr_r = q.chr_r AND left(p.type, 1) = left(q.type, 1) AND p.cluster_id < q.cluster_id
+WHERE p.area > 0 AND q.area > 0 AND CASE WHEN p.chr_l = p.chr_r THEN q.b_min >= p.a_max AND p.b_min >= q.a_max AND (
+    (p.a_max < q.a_max AND p.b_min > q.b_min) OR (q.a_max < p.a_max AND q.b_min > p.b_min)
+    OR 2 * (least(p.b_min, q.b_min) - greatest(p.a_max, q.a_max) + 1) >= greatest(p.b_min, q.b_min) - least(p.a_max, q.a_max) + 1)
+  ELSE p.a_max >= q.a_min AND q.a_max >= p.a_min AND p.b_max >= q.b_min AND q.b_max >= p.b_min END"""
+
+
+@query(sql(["clusters"], _REDUNDANT))
 def redundant_pairs(spark, sf):
     return prune.redundant_pairs(_clusters(spark, sf))
 
