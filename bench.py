@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import SparkSession
 
-HEADLINE = ("pairs_valid", "overlap_edges", "sv_clusters", "sv_clusters_nonreciprocal", "filter_removed", "read_pair_types", "length_bounds_pct", "interval_coverage", "point_coverage", "mean_uniqueness", "score_points", "cgh_single", "fragment_components", "pruned_by_support", "pipeline_hq")
+HEADLINE = ("pairs_valid", "overlap_edges", "sv_clusters", "filter_removed", "read_pair_types", "length_bounds_pct", "interval_coverage", "point_coverage", "mean_uniqueness", "fragment_components")
 
 
 def main() -> None:
