@@ -146,3 +146,40 @@ def test_maximal_sets_against_all_subsets():
         good = [set(c) for n in range(1, 6) for c in itertools.combinations(range(5), n) if common([rows[k] for k in c], same) > 0]
         want = sorted(sorted(c) for c in good if not any(c < d for d in good))
         assert sorted(maximal_sets(rows)) == want
+
+
+def test_maximal_sets_whose_corner_is_no_lower_bound():
+    """A and C share a region that starts above B, which holds at all lower bounds of both."""
+    a, b, c = (0, 10, 2, 12, 2, 10, False), (-1, 9, -6, 4, -5, 3, False), (3, 13, 2, 12, -1, 7, False)
+    assert maximal_sets([a, b, c]) == [[0, 1], [0, 2], [1, 2]]
+    r = random.Random(8)
+    import itertools
+
+    from strandline.operators.prune import _area as common
+
+    for _ in range(150):
+        same, rows = r.random() < 0.5, []
+        for _ in range(6):
+            x, y, far, near = r.randint(0, 12), r.randint(0, 12), r.randint(8, 14), r.randint(0, 5)
+            sx = r.choice([1, -1])
+            sy = sx if same else -sx
+            s = x + y if same else y - x
+            rows.append((x if sx > 0 else x - far, x + far if sx > 0 else x, y if sy > 0 else y - far, y + far if sy > 0 else y, s + (near if sy > 0 else -far), s + (far if sy > 0 else -near), same))
+        good = [set(k) for n in range(1, 7) for k in itertools.combinations(range(6), n) if common([rows[i] for i in k], same) > 0]
+        assert sorted(maximal_sets(rows)) == sorted(sorted(k) for k in good if not any(k < d for d in good))
+
+
+def test_large_clusters_are_split(spark):
+    """A cluster of more than 400 pairs gives the same sets in several tasks as in one."""
+    from strandline.operators.prune import maximal_subclusters
+
+    r = random.Random(5)
+    rows = [("big", f"p{k:03d}", x, x + 1000 + r.randint(0, 9), 1, -1, 50) for k, x in enumerate(sorted(r.randint(0, 300) for _ in range(450)))]
+    members = spark.createDataFrame(rows, "cluster_id string, name string, x long, y long, sx int, sy int, lmax long").withColumns({"s0": F.expr("y - x - 50"), "s1": F.expr("y - x - 20"), "same": F.lit(False)})
+    clusters = spark.createDataFrame([("big", 0.0, 450)], "cluster_id string, area double, num_prs long")
+    got: dict = {}
+    for x in maximal_subclusters(members, clusters, lines=100).collect():
+        got.setdefault((x["sub_id"], x["num_prs"]), []).append(x["name"])
+    want = maximal_sets([(x, x + 50, y - 50, y, y - x - 50, y - x - 20, False) for _, _, x, y, *_ in rows])
+    assert [sorted(v) for _, v in sorted(got.items())] == [[f"p{k:03d}" for k in s] for s in want] and len(want) > 1
+    assert all(n == len(v) for (_, n), v in got.items())
