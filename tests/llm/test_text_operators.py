@@ -306,6 +306,43 @@ def test_message_passing_against_enumeration():
     assert np.allclose(f.beliefs(x, e, fixed), want, atol=1e-3)
 
 
+def test_evidence_reaches_every_linked_mention():
+    """One clear mention at either end of a long chain: beliefs are those of exact forward-backward sums."""
+    n, skip = 60, np.where(np.eye(5, dtype=bool), np.log(8000.0), 0.0)
+    f = pii.Field(np.zeros((1, 5)), np.zeros((5, 5)), skip)
+    e = (np.arange(n - 1), np.arange(1, n), np.ones(n - 1, int))
+    for clear in (0, n - 1):
+        fixed = np.full(n, -1)
+        fixed[clear] = 4
+        step = np.exp(skip) / np.exp(skip).sum(1)
+        want = [np.linalg.matrix_power(step, abs(k - clear))[4, 4] for k in range(n)]
+        got = f.beliefs(np.zeros((n, 1)), e, fixed)[:, 4]
+        assert np.allclose(got, want, atol=1e-3) and got.min() > 0.9
+
+
+def test_one_clear_mention_labels_all_unclear_ones():
+    f = pii.model()
+    for text in ("+1 (017) 555-7713 " + "x (017) 555-7713 " * 80, "x (017) 555-7713 " * 80 + "+1 (017) 555-7713"):
+        base_, every = pii.find(text, f)
+        assert len(base_) == 1 and [k for k, _, _ in every] == ["phone"] * 81
+    assert pii.find("x (017) 555-7713 " * 80, f) == ([], [])
+
+
+def test_loops_come_to_rest():
+    """Repeated neighbours, hence loops: more trips change nothing."""
+    f = pii.model()
+    tokens_ = ["+1", "(017)", "555-7713", "x2"] * 40
+    near_ = [k % 4 != 0 for k in range(160)]
+    fixed = np.full(160, -1)
+    fixed[:3] = 4
+    p = f.beliefs(pii.design(tokens_, near_), pii.graph(tokens_, near_), fixed)
+    trips, pii.STILL = pii.STILL, 1e-9
+    try:
+        assert np.allclose(p, f.beliefs(pii.design(tokens_, near_), pii.graph(tokens_, near_), fixed), atol=1e-2)
+    finally:
+        pii.STILL = trips
+
+
 # --- near duplicates -------------------------------------------------------------------
 
 
