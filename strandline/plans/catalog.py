@@ -512,7 +512,7 @@ def fragment_names(spark, sf):
     return m.select("mapping", g.fragment_name(C("mapping")).alias("fragment"))
 
 
-MCMC = assign.McmcParams(lam=0.05, burn_in=2_000, samples=8_000, exact_states=2**10)
+MCMC = assign.McmcParams(lam=0.05)
 
 
 @query()

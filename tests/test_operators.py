@@ -153,6 +153,31 @@ def test_sampling_against_enumeration():
             assert m[v] == pytest.approx(e[v], abs=0.02)
 
 
+def test_sums_over_counts_against_enumeration():
+    r = random.Random(2)
+    for _ in range(60):
+        n = r.randint(1, 3)
+        options = [sorted(r.sample(range(n), r.randint(1, n))) for _ in range(r.randint(1, 6))]
+        s = assign.State(options, [(r.uniform(-30, 0), r.uniform(-30, 0)) for _ in range(n)], assign.McmcParams(perr=0.05, lam=0.02))
+        for e, c in zip(assign.exact_posterior(s), assign.counted_posterior(s, 2**16), strict=True):
+            assert c == pytest.approx(e, abs=1e-9)
+    assert assign.counted_posterior(s, 0) is None
+
+
+def test_queries_do_the_whole_assignment(spark, monkeypatch):
+    """The queries' parameters are the operator's own, and steps grow with the fragments."""
+    from dataclasses import replace
+
+    assert replace(catalog.MCMC, lam=assign.McmcParams.lam) == assign.McmcParams()
+    links = spark.createDataFrame([(f"f{k}", c) for k in range(300) for c in ("a", "b")], "fragment_id string, cluster_id string")
+    comp = spark.createDataFrame([("a", "a"), ("b", "a")], "cluster_id string, component_id string")
+    scored = spark.createDataFrame([("a", -900.0, -3000.0, 5.0), ("b", -900.0, -3000.0, 5.0)], "cluster_id string, log_p_variant double, log_p_novariant double, llr double")
+    few = assign.McmcParams(burn_in=0, samples=100, exact_states=0)
+    # 300 steps at 300 fragments: times in a state are multiples of 1 / 300
+    got = [x["probability"] for x in assign.mcmc(links, comp, scored, few)[0].collect()]
+    assert all(abs(q * 300 - round(q * 300)) < 1e-6 for q in got) and any(abs(q * 100 - round(q * 100)) > 1e-6 for q in got)
+
+
 @pytest.mark.parametrize("shifted", [False, True])
 def test_prune_against_the_greedy_pass(spark, shifted):
     r = random.Random(12)
