@@ -72,12 +72,14 @@ class Sizes:
 
         self.good, self.bad, self.plain = made(good), made(bad), made(None)
 
-    def features(self, data: bytes) -> list[float]:
+    def features(self, data: bytes, length: int | None = None) -> list[float]:
+        """Of a text, or of blocks of one of ``length`` bytes."""
         g = b = p = 0
         for at in range(0, max(1, len(data)), BLOCK):
             part = data[at : at + BLOCK]
             g, b, p = g + len(self.good.compress(part)), b + len(self.bad.compress(part)), p + len(self.plain.compress(part))
-        n = max(1, len(data))
+        n = max(1, len(data) if length is None else length)
+        g, b, p = (v * (n / max(1, len(data))) for v in (g, b, p))
         return [(b - g) / p, (b - g) / n, p / n, min(g, b) / n, np.log(n), 1 / (1 + n / 50)]
 
 
@@ -113,8 +115,8 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"".join(parts)[-DICTIONARY:]
 
 
-def fit(rows: list[tuple[int, bytes, int]]) -> Model:
-    """A model of rows (crc of the id, text, label 0 or 1)."""
+def fit(rows: list[tuple[int, bytes, int, int]]) -> Model:
+    """A model of rows (crc of the id, text or blocks of it, label 0 or 1, length of the text)."""
     rows = sorted(rows)
     y = np.array([r[2] for r in rows])
     none = Model(b"", b"", np.zeros(6), np.ones(6), np.zeros(1), False)
@@ -123,20 +125,39 @@ def fit(rows: list[tuple[int, bytes, int]]) -> Model:
     fold = np.array([r[0] // 5 % FOLDS for r in rows])
     x, ok = np.zeros((len(rows), 6)), np.zeros(len(rows), bool)
     for k in range(FOLDS):
-        sides = [[t for (_, t, label), f in zip(rows, fold, strict=True) if label == side and f != k and t] for side in (1, 0)]
+        sides = [[t for (_, t, label, _), f in zip(rows, fold, strict=True) if label == side and f != k and t] for side in (1, 0)]
         if not all(sides):
             continue
         sizes = Sizes(*map(_dictionary, sides))
         for i in np.flatnonzero(fold == k):
-            x[i], ok[i] = sizes.features(rows[i][1]), True
+            x[i], ok[i] = sizes.features(rows[i][1], rows[i][3]), True
     if not ok.any() or y[ok].min() == y[ok].max():
         return none
     mean, scale = x[ok].mean(0), x[ok].std(0) + 1e-9
     weights = _logistic(_quadratic(x[ok], mean, scale), y[ok])
-    good, bad = (_dictionary([t for _, t, label in rows if label == side and t]) for side in (1, 0))
+    good, bad = (_dictionary([t for _, t, label, _ in rows if label == side and t]) for side in (1, 0))
     return Model(good, bad, mean, scale, weights)
 
 
+def _share(sizes: list[int], budget: int) -> int:
+    """The most bytes of each text with which all fit in ``budget``."""
+    for k, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - k) > budget:
+            return max(1, budget // (len(sizes) - k))
+        budget -= n
+    return max(sizes, default=1)
+
+
+def _blocks(most: int) -> Column:
+    """Column ``data`` of ``n`` bytes in an array: whole, or blocks of up to ``most`` bytes in
+    all, one at a place given by ``key`` in each of equal stretches of the text."""
+    size = min(BLOCK, most)
+    count = most // size
+    stretch = F.col("n") / count
+    at = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.floor(i * stretch + F.pmod(F.xxhash64("key", i), F.lit(1024)) / 1024 * (stretch - size)).cast("int"))
+    return F.when(F.col("n") <= most, F.array("data")).otherwise(F.transform(at, lambda p: F.substring("data", p + 1, F.lit(size))))
+
+
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
     """Learns from labelled rows that are not held out."""
     crc = id_crc(F.col("doc_id"))
@@ -147,12 +168,12 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int
         return fit([])
     wanted = spark.createDataFrame([tuple(r) for r in chosen], usable.schema).coalesce(1)  # at most 2 * max_rows rows
     have = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id")
-    got = have.select("crc", "quality", F.encode("text", "utf-8").alias("data"), "doc_id").distinct().orderBy("crc", "doc_id", "data").limit(4 * max_rows)
-    rows, used = [], 0
-    for r in got.toLocalIterator():
-        data = bytes(r["data"] or b"")[: max(0, max_bytes - used)]
-        used += len(data)
-        rows.append((int(r["crc"]), data, r["quality"]))
+    keys = ["crc", "doc_id", "quality", "n", "key"]
+    data = F.coalesce(F.encode("text", "utf-8"), F.lit(b""))
+    texts = have.select("crc", "doc_id", "quality", F.octet_length(data).cast("long").alias("n"), F.xxhash64(data).alias("key"), data.alias("data"))
+    sizes = [r["n"] for r in texts.select(keys).distinct().orderBy(keys).limit(4 * max_rows).select("n").collect()]
+    got = texts.select(*keys, _blocks(_share(sizes, max_bytes)).alias("data")).dropDuplicates(keys).orderBy(keys).limit(4 * max_rows)
+    rows = [(int(r["crc"]), b"".join(map(bytes, r["data"])), r["quality"], r["n"]) for r in got.toLocalIterator()]
     return fit(rows)
 
 

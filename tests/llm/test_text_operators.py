@@ -170,6 +170,25 @@ def test_quality_learns_nothing_from_held_out_rows(spark):
     assert quality.keep_good(spark, docs, labels).columns == docs.columns
 
 
+def test_quality_one_long_text_leaves_the_others(spark, monkeypatch):
+    """A labelled text beyond the byte budget takes no other text's place, and is seen to its end."""
+    r = random.Random(4)
+    texts = [(k, prose(r, 60)) for k in range(1, 60)]
+    long = min((k for k, _ in texts if zlib.crc32(str(k).encode()) % 5), key=lambda k: zlib.crc32(str(k).encode()))
+    texts = [(k, "start " * 20_000 + "middle " * 20_000 + "final " * 20_000 if k == long else t) for k, t in texts]
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in texts], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows: seen.append(rows))
+    quality.train(spark, table(spark, texts), labels, max_bytes=60_000)
+    rows = {crc: (data, n) for crc, data, _, n in seen[0]}
+    for k, t in texts:
+        crc = zlib.crc32(str(k).encode())
+        if crc % 5:
+            data, n = rows.pop(crc)
+            assert n == len(t) and (data == t.encode() if k != long else all(w in data for w in (b"start", b"middle", b"final")))
+    assert not rows and sum(len(d) for _, d, _, _ in seen[0]) <= 60_000
+
+
 # --- rollups ---------------------------------------------------------------------------
 
 
