@@ -4,15 +4,19 @@ A page is parsed into elements. Elements that by name, role or class are menus,
 footers, sidebars, notices, adverts, forms, scripts, styles or reader comments go. Of
 the rest the article (or main) elements are the text, or the whole body if there are
 none. Beside these rules, every element subtree is hashed (its tag and all it holds),
-and Spark counts, per host, on how many pages with different text a subtree occurs;
-subtrees that recur on at least ``MIN_PAGES`` of them and on at least ``SHARE`` of the
-host's are the site's template and are deleted. Pages with equal text count once, so
-copies of an article do not make it a template.
+and Spark counts, per host, on how many pages with different text a subtree occurs.
+Pages with equal text count once, so copies of an article do not make it a template.
+Subtrees are the site's template, and are deleted, if they recur
+
+* on at least ``MIN_PAGES`` different pages and ``SHARE`` of the host's; on hosts of few
+  pages on two thirds of them, but ``FEWEST`` pages at least, are enough for the first, or
+* on at least ``MANY_PAGES`` different pages, whatever their share, if they are long: not
+  inline and of at least ``LONG`` characters, as short ones recur in articles, too.
 
 Scale. Subtree counts are partial sums per (host, hash), so a host with a third of all
-pages is spread over all tasks. A host's template has at most (subtrees of a page) /
-``SHARE`` entries, whatever its pages. The template table is broadcast only while it
-has at most ``BROADCAST_ROWS`` rows, beyond that pages are joined to it by host.
+pages is spread over all tasks. The template table is broadcast only while it has at
+most ``BROADCAST_ROWS`` rows; beyond that the pages' own hashes are joined to it by
+(host, hash), so no row holds more than the subtrees of one page.
 
 Defined cases: null and empty html give an empty text; unclosed and stray tags are read
 as browsers do for the elements concerned (p, li, table parts close themselves; an end
@@ -34,6 +38,7 @@ from pyspark.sql import functions as F
 from strandline.llm import store
 
 MIN_PAGES, SHARE, BROADCAST_ROWS = 10, 0.3, 100_000
+FEWEST, MANY_PAGES, LONG = 3, 200, 40
 
 # Element names by their role in html.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -131,25 +136,26 @@ def _walk(root: Node) -> list[Node]:
 
 
 def subtrees(root: Node) -> dict[int, int]:
-    """Signed 64-bit hash of each kept element that holds text, by ``id(node)``."""
+    """Signed 64-bit hash of each kept element that holds text, by ``id(node)``. The lowest
+    bit says whether it is long."""
     digest, out = {}, {}
     dead = _dead(root)
     for node in _walk(root):
         h = hashlib.blake2b(node.tag.encode(), digest_size=8)
-        some = False
+        size = 0
         for k in node.kids:
             if type(k) is str:
                 t = _SPACE.sub(" ", k).strip()
                 if t:
-                    some = True
+                    size += len(t)
                     h.update(b"\0" + t.encode("utf-8", "surrogatepass"))
             else:
-                d, has = digest[id(k)]
+                d, inside = digest[id(k)]
                 h.update(b"\1" + d)
-                some = some or has
-        digest[id(node)] = h.digest(), some
-        if some and node.tag not in ("", "html", "body") and id(node) not in dead:
-            out[id(node)] = int.from_bytes(h.digest(), "little", signed=True)
+                size += inside
+        digest[id(node)] = h.digest(), size
+        if size and node.tag not in ("", "html", "body") and id(node) not in dead:
+            out[id(node)] = int.from_bytes(h.digest(), "little", signed=True) & -2 | (size >= LONG and node.tag not in INLINE)
     return out
 
 
@@ -210,8 +216,8 @@ def _key(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """(host, hashes): the template subtrees of each host that has some."""
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, many_pages: int = MANY_PAGES) -> DataFrame:
+    """(host, hash): the template subtrees of each host that has some."""
     store.small_batches(pages.sparkSession)
 
     def run(batches):
@@ -226,27 +232,45 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE
 
     seen = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "host string, text long, trees array<long>")
     once = store.materialize(seen.groupBy("host", "text").agg(F.first("trees").alias("trees")), "subtrees")
-    sizes = once.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
-    counts = once.select("host", F.explode("trees").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    found = counts.join(sizes, "host").where(F.col("n") >= share * F.col("pages"))
-    return found.groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("hashes"))  # at most subtrees of a page / share
+    n = F.col("pages")
+    fewest = F.greatest(F.lit(min(FEWEST, min_pages)), F.least(F.lit(min_pages), F.ceil(n * 2 / 3)))
+    sizes = once.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(n >= min(FEWEST, min_pages))
+    counts = once.select("host", F.explode("trees").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(FEWEST, min_pages))
+    long = F.col("hash").bitwiseAND(F.lit(1)) == 1
+    found = counts.join(sizes, "host").where((F.col("n") >= fewest) & (F.col("n") >= share * n) | long & (F.col("n") >= many_pages))
+    return found.select("host", "hash")
+
+
+def _own_templates(pages: DataFrame, made: DataFrame) -> DataFrame:
+    """(host, page, hashes): the template subtrees that each different html of a host has."""
+
+    def run(batches):
+        for b in batches:
+            trees = [sorted(set(subtrees(parse(page or "")).values())) for page in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(trees, pa.list_(pa.int64()))], names=["host", "page", "trees"])
+
+    have = pages.select("host", "page", "html").mapInArrow(run, "host string, page binary, trees array<long>").dropDuplicates(["host", "page"])
+    return have.select("host", "page", F.explode("trees").alias("hash")).join(made, ["host", "hash"], "left_semi").groupBy("host", "page").agg(F.collect_list("hash").alias("hashes"))
 
 
 OUT = "page_id long, url string, text string, n_chars long"
 
 
-def extract(spark: SparkSession, pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def extract(spark: SparkSession, pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, broadcast_rows: int = BROADCAST_ROWS, many_pages: int = MANY_PAGES) -> DataFrame:
     """Per page: page_id, url, the main text and its length in code points."""
-    made = store.materialize(templates(pages, min_pages, share), "templates")
+    made = store.materialize(templates(pages, min_pages, share, many_pages), "templates")
     base = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    rows = made.agg(F.sum(F.size("hashes"))).first()[0] or 0
-    if rows <= broadcast_rows:
-        held = spark.sparkContext.broadcast({r["host"]: frozenset(r["hashes"]) for r in made.collect()})
+    if made.count() <= broadcast_rows:
+        known: dict[str, set[int]] = {}
+        for r in made.collect():
+            known.setdefault(r["host"], set()).add(r["hash"])
+        held = spark.sparkContext.broadcast({k: frozenset(v) for k, v in known.items()})
         joined = base
     else:
         held = None
-        known = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/?#:]*)", 1)
-        joined = base.withColumn("host", F.lower(known)).join(made, "host", "left").select("page_id", "url", "html", "hashes")
+        name = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/?#:]*)", 1)
+        keyed = base.withColumn("host", F.lower(name)).withColumn("page", F.unhex(F.sha2(F.coalesce("html", F.lit("")), 256)))
+        joined = keyed.join(_own_templates(keyed, made), ["host", "page"], "left").select("page_id", "url", "html", "hashes")
 
     def run(batches):
         for b in batches:

@@ -266,6 +266,25 @@ def test_html_templates(spark, rows):
     assert got[100] == got[129] == "The very same article" and got[200] == "Promo of the site"
 
 
+@pytest.mark.parametrize("rows", [100_000, 0])
+def test_html_templates_of_small_hosts_and_small_shares(spark, rows):
+    """A host of six pages has a template, and so has a notice on 20 % of many pages; what
+    is short and recurs in articles stays, as does what one other page has."""
+    r = random.Random(6)
+    notice = "This site is kept up by its readers, who pay for it"
+    own = {k: prose(r, 12) for k in range(1100)}
+
+    def page(k, boxes):
+        return "<body>" + "".join(f"<div><p>{b}</p></div>" for b in (*boxes, own[k])) + "</body>"
+
+    pages = [(k, "http://small.example/", page(k, [notice])) for k in range(6)]
+    pages += [(k, "http://two.example/", page(k, [notice])) for k in (6, 7)]
+    pages += [(k, "http://big.example/", page(k, [notice] if k % 5 == 0 else ["Read on"] if k % 5 == 1 else [])) for k in range(10, 1100)]
+    got = {x["page_id"]: x["text"] for x in html.extract(spark, spark.createDataFrame(pages, "page_id long, url string, html string"), broadcast_rows=rows).collect()}
+    for k, *_ in pages:
+        assert got[k] == (f"{notice} {own[k]}" if k in (6, 7) else f"Read on {own[k]}" if k >= 10 and k % 5 == 1 else own[k])
+
+
 # --- personal data ---------------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
