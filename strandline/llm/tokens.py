@@ -3,7 +3,8 @@
 ``WordTokenizer.encode`` gives exactly the ids of the tokenizer file. Where a text
 has only characters for which normalisation and splitting are known to act on each
 word alone, words are split by the file's own pattern and each distinct word is
-encoded once, by the file's merges; any other text goes through the tokenizer as a whole.
+encoded once, by the file's merges; any other text, and one that holds an added token of
+the file (such as <|endoftext|>), goes through the tokenizer as a whole.
 """
 
 from __future__ import annotations
@@ -93,11 +94,13 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        # in any case: a token that the file normalises is found in lower-cased text
+        added = sorted({re.escape(a.content.lower()) for a in self.whole.get_added_tokens_decoder().values() if a.content})
+        self.added = re.compile("|".join(added) or r"(?!)", re.I)
         self.words = Words(path, cache)
 
     def encode(self, text: str) -> bytes:
-        if _OTHER.search(text):
+        if _OTHER.search(text) or self.added.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = self.words
         words.trim()

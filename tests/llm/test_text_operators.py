@@ -94,6 +94,15 @@ def test_token_ids_equal_the_file():
         assert tok.encode(t) == np.array(tok.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
 
 
+def test_added_tokens_are_the_file_s():
+    from tokenizers import Tokenizer
+
+    tok, plain = tokens.WordTokenizer(tokens.default_path()), Tokenizer.from_file(tokens.default_path())
+    for t in ("a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "a<|ENDOFTEXT|>", "<|endoftext", "é <|endoftext|> 日"):
+        assert tok.encode(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), t
+    assert np.frombuffer(tok.encode("a <|endoftext|> b"), "<u4").tolist() == [320, 49407, 321]
+
+
 # --- licenses --------------------------------------------------------------------------
 
 
