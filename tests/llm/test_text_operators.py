@@ -262,6 +262,67 @@ def test_html_extraction(spark):
     assert html.extract(spark, pages.limit(0)).count() == 0
 
 
+def test_html_rules_by_whole_class_names():
+    def text(page):
+        return html.main_text(html.parse(page))
+
+    assert text('<div class="layout has-sidebar"><article><p>Text</p></article></div>') == "Text"
+    assert text('<div class="page with-sidebar"><div class="sidebar-left">Links</div><p>Text</p></div>') == "Text"
+    assert text('<div class="sidebar-grid"><main><p>Text</p></main></div>') == "Text"
+    assert text('<article><div class="article-header"><h1>Head</h1></div><p>Text</p></article>') == "Head Text"
+    assert text('<article><header><h1>Head</h1></header><p>Text</p><footer>By me</footer></article>') == "Head Text"
+    assert text('<header><h1>Site</h1></header><article><p>Text</p></article>') == "Text"
+    assert text('<article><p>Text</p></article><article class="comment"><p>First!</p></article>') == "Text"
+    assert text('<article><p>Text</p><section id="comments"><article><p>First!</p></article></section></article>') == "Text"
+    assert text('<article><p>Text</p></article><div class="related-posts"><article>Other</article></div>') == "Text"
+    assert text('<p>Text</p><div class="site-header">S</div><div class="newsletter-signup">N</div><div id="cookie_banner">C</div>') == "Text"
+
+
+def test_html_parsing_takes_linear_time():
+    import time
+
+    for piece in ("<a ", '<a "', "<a '", "<!-- ", "<div>", "<div></span>", "<td>", "<b><div></b>", "<script>", "</p>", "&amp", "<li><div>", "<![CDATA[", "<p <"):
+        start = time.perf_counter()
+        html.main_text(html.parse(piece * (1_000_000 // len(piece))), frozenset([1]), {})
+        assert time.perf_counter() - start < 20, piece
+    start = time.perf_counter()
+    html.parse("<a " * 333_333)
+    assert time.perf_counter() - start < 2
+    assert html.main_text(html.parse("x <a href='y>z</a> w")) == "x z w"
+
+
+@pytest.mark.parametrize("rows", [100_000, 0])
+def test_html_templates_by_shape(spark, rows):
+    """Menus that name other things on every page, without any telling name, are one shape of
+    a host; link lists of the article stay, as do other hosts' few pages and article passages."""
+    r = random.Random(12)
+
+    def page(k, passage=""):
+        own = prose(r, 9)
+        menu = "".join(f'<span class="x{k % 3}"><a href="/{w}">{w}</a></span>' for w in prose(r, r.randint(3, 7)).split())
+        refs = "".join(f"<li><a href='#'>{w}</a></li>" for w in ("one", "two", "three"))
+        return f"<body><div class='q1'>{menu}</div><article><p>{passage}{own}</p><ul>{refs}</ul></article></body>", f"{passage}{own} one two three"
+
+    same = prose(r, 60) + " "
+    pages = [(k, "http://big.example/", *page(k, same if k % 10 == 0 else "")) for k in range(300)] + [(1000, "http://b.example/", *page(1000))]
+    # without an article element, all else is the text
+    pages = [(i, u, h.replace("article>", "section>"), t) if i % 2 else (i, u, h, t) for i, u, h, t in pages]
+    df = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    got = {x["page_id"]: x["text"] for x in html.extract(spark, df, broadcast_rows=rows).collect()}
+    for i, u, h, t in pages:
+        if i == 1000:
+            assert got[i] == t
+        elif i % 2:  # a third of the pages share a shape of classes; the list is in no article
+            assert got[i] == t.removesuffix(" one two three")
+        else:
+            assert got[i] == t
+
+
+def test_html_of_bytes_that_are_no_text(spark):
+    pages = spark.sql("select 1L as page_id, 'http://h/' as url, cast(unhex('3C703E61FF623C2F703E') as string) as html")
+    assert [r["text"] for r in html.extract(spark, pages).collect()] == ["a\ufffdb"]
+
+
 @pytest.mark.parametrize("rows", [100_000, 0])
 def test_html_templates(spark, rows):
     """Boxes that recur over a host's different pages go, by either join; copies stay."""
