@@ -7,9 +7,12 @@ and a pair goes as soon as the probability of reaching the threshold falls below
 tolerance. The Jaccard similarity of the rest is computed exactly from their texts.
 
 Scale. Equal texts are one vertex with a copy count, so groups of copies never meet
-pairwise. A bucket is never expanded into pairs: it is cut into blocks by a hash of
-the text's id, block pairs are dealt over the cluster, and each sends on only which
-texts have surviving partners, then link counts and one star of links per linked set.
+pairwise. A bucket is never expanded into pairs: up to ``BLOCK`` texts (or ``WEIGHT``
+shingles) of it are one task's work, and a larger one is cut into blocks by a hash of the
+text's id. Block pairs are dealt over the cluster, and each sends on only which texts have
+surviving partners, then link counts and one star of links per linked set. So a group of n
+different near copies makes n rows a bucket up to ``BLOCK``, and n * n / ``BLOCK`` beyond:
+every pair has to meet somewhere, and tasks are bounded. The README has figures.
 Buckets with the same members in several bands are kept once, and a pair is handled
 in the first band that it shares, so no link is counted twice. Components come from
 an iterative Spark job. Nothing about documents is collected or broadcast.
@@ -18,7 +21,8 @@ Defined cases: words are what white space separates, compared in lower case; a t
 of one to four words is one shingle; a text without words (null, empty, blank) has no
 shingles, links to nothing and is a class of its own; equal texts are similar 1;
 repeated rows count as documents; null doc_ids are kept and sort last; a class is
-named by its least doc_id (null if it has none).
+named by its least doc_id (null if it has none). Bytes that are not valid UTF-8 are read
+as replacement characters; texts are equal if their bytes are.
 """
 
 from __future__ import annotations
@@ -39,7 +43,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
 TOLERANCE = 1e-7
 STEP_BANDS = 8  # bands compared at once
-BLOCK = 256  # texts of a block
+BLOCK, WEIGHT = 2048, 1 << 20  # texts of a block, and shingles
 HASHES = BANDS * ROWS
 _MASK = (1 << 64) - 1
 
@@ -163,30 +167,36 @@ def _rounds(key: tuple, side: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(tid, doc_id, sig) of each document with words; tid is the text's MD5."""
+    """(tid, doc_id, sig, size) of each document with words; tid is the text's MD5, size its
+    number of shingles."""
     store.small_batches(docs.sparkSession)
 
     def run(batches):
         made = Shingler()
         for b in batches:
-            ids, sigs, rows, seen = [], [], [], {}
+            ids, sigs, rows, sizes, seen = [], [], [], [], {}
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = text.as_buffer().to_pybytes()
                 tid = hashlib.md5(raw).digest()
                 if tid not in seen:
                     s = made.shingles(raw.decode("utf-8", "replace"))
-                    seen[tid] = made.signature(s).tobytes() if len(s) else None
+                    seen[tid] = (made.signature(s).tobytes(), len(s)) if len(s) else None
                 if seen[tid] is not None:
                     ids.append(doc_id)
                     rows.append(tid)
-                    sigs.append(seen[tid])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(ids, pa.int64()), pa.array(sigs, pa.binary())], names=["tid", "doc_id", "sig"])
+                    sigs.append(seen[tid][0])
+                    sizes.append(seen[tid][1])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(ids, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], names=["tid", "doc_id", "sig", "size"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).mapInArrow(run, "tid binary, doc_id long, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), _bytes("text").alias("text")).where(F.col("text").isNotNull()).mapInArrow(run, "tid binary, doc_id long, sig binary, size long")
+
+
+def _bytes(name: str) -> Column:
+    return store.col(name).cast("string").cast("binary")
 
 
 def _bands(texts: DataFrame) -> DataFrame:
-    """(key, vid) of each band; the band is in the key's top bits."""
+    """(key, vid, size) of each band; the band is in the key's top bits."""
 
     def run(batches):
         mul = _odd(ROWS, "band").astype(np.uint64)
@@ -199,17 +209,18 @@ def _bands(texts: DataFrame) -> DataFrame:
             h ^= h >> np.uint64(30)
             h *= np.uint64(0x94D049BB133111EB)
             key = (h >> np.uint64(6)) | top
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["key", "vid"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), BANDS)), pa.array(np.repeat(b.column(2).to_numpy(), BANDS))], names=["key", "vid", "size"])
 
-    return texts.select("vid", "sig").mapInArrow(run, "key long, vid long")
+    return texts.select("vid", "sig", "size").mapInArrow(run, "key long, vid long, size long")
 
 
 def _buckets(texts: DataFrame) -> DataFrame:
     """(key, vid, bi, bj, side): each bucket of two or more texts, cut into block pairs."""
     bands = store.materialize(_bands(texts), "bands")
-    sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("vid")).alias("x"), F.min("vid").alias("least")).where("n > 1")
-    kept = sizes.groupBy("n", "x", "least").agg(F.min("key").alias("key")).select("key", "n")
-    members = bands.join(kept, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"), F.bit_xor(F.xxhash64("vid")).alias("x"), F.min("vid").alias("least")).where("n > 1")
+    kept = sizes.groupBy("n", "x", "least").agg(F.min("key").alias("key"), F.max("weight").alias("weight"))
+    blocks = F.least(F.col("n"), F.ceil(F.greatest(F.col("n") / BLOCK, F.col("weight") / WEIGHT))).cast("int")
+    members = bands.drop("size").join(kept.select("key", blocks.alias("blocks")), "key")
     own = F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")
     members = members.select("key", "vid", own.alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     return members.select("key", F.least("side", "other").alias("bi"), F.greatest("side", "other").alias("bj"), "side", "vid")
@@ -246,18 +257,19 @@ LINKS = "vid long, root long, n_links long, n_texts long"
 def _verified(pruned: DataFrame, texts: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """(vid, root, n_links, n_texts) per block pair: exact links, counted."""
     fewest = least_matches(threshold)
-    where = pruned.groupBy("vid").agg(F.collect_list(F.struct("key", "bi", "bj", "side")).alias("at"))  # a few per band
-    meta = texts.join(where, "vid").select("tid", "vid", "sig", "copies", "at")
-    bodies = docs.select(F.unhex(F.md5(F.col("text").cast("string").cast("binary"))).alias("tid"), F.col("text").cast("string").alias("text")).where("tid is not null").dropDuplicates(["tid"])
-    rows = bodies.join(meta, "tid").select(F.explode("at").alias("p"), "vid", "sig", "copies", "text")
-    rows = _dealt(rows.select("p.key", "p.bi", "p.bj", "p.side", "vid", "sig", "copies", "text"))
+    alive = store.materialize(pruned.select("vid").distinct().join(texts, "vid").select("tid", "vid", "sig", "copies"), "alive")
+    # of all texts only those with a surviving partner are shuffled, each once, and then
+    # sent to their block pairs
+    bodies = docs.select(_tid(F.col("text")).alias("tid"), _bytes("text").alias("text")).join(alive.select("tid"), "tid", "left_semi").dropDuplicates(["tid"])
+    bodies = store.materialize(bodies.join(alive, "tid").select("vid", "sig", "copies", "text"), "bodies")
+    rows = _dealt(pruned.join(bodies, "vid").select("key", "bi", "bj", "side", "vid", "sig", "copies", "text"))
 
     def run(batches):
         made = Shingler()
         for key, t in _groups(batches, 3):
             side, vid, copies = t["side"].to_numpy(), t["vid"].to_numpy(), t["copies"].to_numpy()
             sig, band = _binary(t["sig"], "<u2", HASHES), key[0] >> 58
-            sets = [made.shingles(x.as_py()) for x in t["text"]]
+            sets = [made.shingles(x.as_py().decode("utf-8", "replace")) for x in t["text"]]
             size = np.array([len(s) for s in sets])
             # shingles as numbers from 0, so that membership is one array lookup
             names, ids = np.unique(np.concatenate(sets), return_inverse=True)
@@ -278,7 +290,10 @@ def _verified(pruned: DataFrame, texts: DataFrame, docs: DataFrame, threshold: f
                     continue
                 mine = ids[start[i] : start[i] + size[i]]
                 mark[mine] = 1
-                common = np.array([mark[ids[start[j] : start[j] + size[j]]].sum() for j in js])
+                if 50 * len(js) > len(sets):  # all at once is cheaper than one by one
+                    common = np.add.reduceat(mark[ids], start)[js]
+                else:
+                    common = np.array([mark[ids[start[j] : start[j] + size[j]]].sum() for j in js])
                 mark[mine] = 0
                 # J >= threshold, in whole numbers of shingles
                 linked = js[common >= threshold * (size[i] + size[js] - common) - 1e-9]
@@ -303,13 +318,13 @@ def classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD)
     """Per distinct text with words: tid, copies, n_links, n_texts, class_id, class_size,
     keeper (the class's least (doc_id, tid), as a struct)."""
     sk = sketches(docs)
-    texts = sk.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"))
+    texts = sk.groupBy("tid").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("size").alias("size"))
     texts = store.materialize(texts.withColumn("vid", F.monotonically_increasing_id()), "texts")
     pruned = store.materialize(_pruned(_buckets(texts), texts), "pruned")
     links = store.materialize(_verified(pruned, texts, docs, threshold), "links")
     counts = links.groupBy("vid").agg(F.sum("n_links").alias("n_links"), F.sum("n_texts").alias("n_texts"))
     roots = connected_components(links.select(F.col("vid").alias("u"), F.col("root").alias("v")))
-    named = texts.drop("sig").join(counts, "vid", "left").join(roots.withColumnRenamed("id", "vid"), "vid", "left")
+    named = texts.drop("sig", "size").join(counts, "vid", "left").join(roots.withColumnRenamed("id", "vid"), "vid", "left")
     named = named.select("tid", "doc_id", "copies", F.coalesce("root", "vid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")
     heads = named.groupBy("root").agg(F.min(first).alias("keeper"), F.sum("copies").alias("class_size"))
@@ -345,14 +360,17 @@ def join(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) ->
 
 def one_of_each(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each class: its least doc_id (nulls last), then least
-    text MD5. Of repeated rows one stays. Documents without words all stay."""
+    text MD5, then the least of its other columns as JSON. Of repeated rows one stays.
+    Documents without words all stay."""
     found = classes(spark, docs, threshold).select(_row_key(F.col("keeper.doc_id"), F.hex("keeper.tid")).alias("_key")).distinct()
     held = docs.select(F.struct(*[store.col(c) for c in docs.columns]).alias("_row"))
     text = F.col("_row.text").cast("string")
     blank = text.isNull() | ~text.rlike(NOT_SPACE)
     kept = held.where(~blank).withColumn("_key", _row_key(F.col("_row.doc_id").cast("long"), F.upper(F.md5(text.cast("binary")))))
     # repeated rows of one document fall to one in the shuffle that the join needs anyway
-    kept = kept.join(found, "_key").withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(0)))).where("_n = 1")
+    others = [F.col("_row." + store.quoted(c)) for c in docs.columns if c != "text"]
+    order = [F.to_json(F.struct(*others))] if others else [F.lit(0)]
+    kept = kept.join(found, "_key").withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(*order))).where("_n = 1")
     return kept.select("_row.*").unionByName(held.where(blank).select("_row.*"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.work import filesystem, materialize, new_path, remove, root
 
-__all__ = ["BATCH_ROWS", "col", "filesystem", "free_name", "materialize", "new_path", "read", "remove", "root", "small_batches"]
+__all__ = ["BATCH_ROWS", "col", "filesystem", "free_name", "materialize", "new_path", "quoted", "read", "remove", "root", "small_batches"]
 
 #: Rows handed to Python at once. Texts can be long, so batches stay small.
 BATCH_ROWS = 512
@@ -34,4 +34,8 @@ def free_name(df: DataFrame, base: str) -> str:
 
 def col(name: str) -> Column:
     """The column of exactly this name, whatever dots or backticks it holds."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

@@ -504,6 +504,36 @@ def test_one_of_each(spark):
     assert kept == want
 
 
+def invalid(spark, *texts):
+    """Documents of these bytes, valid UTF-8 or not."""
+    rows = " union all ".join(f"select {k}L as doc_id, cast(unhex('{t.hex()}') as string) as text" for k, t in enumerate(texts))
+    return spark.sql(f"select *, 'en' as lang, 's' as source, 1L as n_chars from ({rows})")
+
+
+def test_near_of_bytes_that_are_no_text(spark):
+    words = prose(random.Random(1), 40).encode()
+    got = {r["doc_id"]: r["class_id"] for r in near.join(spark, invalid(spark, words + b" \xff", words + b" \xfe", words, b"\xff\xff")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3}
+    assert near.one_of_each(spark, invalid(spark, words + b" \xff", words)).count() == 1
+
+
+def test_rows_to_verification_grow_in_proportion(spark):
+    """Different near copies of one text: four times the copies make about four times the rows."""
+    words = prose(random.Random(2), 200).split()
+    n = {}
+    for copies in (128, 512):
+        texts = [" ".join([*words[: k % 150], f"x{k}", *words[k % 150 :]]) for k in range(copies)]
+        sk = near.sketches(table(spark, texts)).withColumn("copies", F.lit(1)).withColumn("vid", F.col("doc_id"))
+        n[copies] = near._buckets(sk).count()
+    assert n[512] < 6 * n[128]
+
+
+def test_the_row_that_stays_is_the_same_however_rows_lie(spark):
+    rows = [(1, "some words that are the same here", s) for s in ("c", "a", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {near.one_of_each(spark, df.repartition(n)).first()["source"] for n in (1, 3)} == {"a"}
+
+
 def test_posterior_bound():
     """The kept pairs' rule is the Beta posterior: checked by numeric integration."""
     fewest = near.least_matches()
