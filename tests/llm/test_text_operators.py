@@ -451,6 +451,58 @@ def test_loops_come_to_rest():
         pii.STILL = trips
 
 
+def measured(field, skip, n=250):
+    """Precision and recall of labels beside the base spans, over documents of other forms
+    and words than those that the field learned from."""
+    right = found_ = wanted = 0
+    for text, gold in pii.documents(n, 99, "test"):
+        base_, every = pii.find(text, field, skip)
+        for tokens_, _, _ in pii.segments(text):
+            g, e, b = (pii.labels_of(tokens_, s) for s in (gold, every, base_))
+            right += int(((e == g) & (g > 0) & (b == 0)).sum())
+            found_ += int(((e > 0) & (b == 0)).sum())
+            wanted += int(((g > 0) & (b == 0)).sum())
+    return right / found_, right / wanted
+
+
+def test_skip_edges_find_what_a_chain_does_not():
+    f = pii.model()
+    precision, recall = measured(f, True)
+    plain_precision, plain_recall = measured(f, False)
+    assert precision >= 0.8 and recall >= 0.65
+    assert recall > plain_recall + 0.1 and precision > plain_precision - 0.02
+
+
+def test_a_number_that_runs_on_goes_whole():
+    """Base matches that run on into the next number fail; the field has them whole."""
+    f = pii.model()
+    text = "oument éreé. +1 (826) 555-4081 190.137.223.204 du"
+    base_, every = pii.find(text, f)
+    assert [k for k, _, _ in base_] == ["ip"]
+    assert [text[a:b] for k, a, b in every if k == "phone"] == ["+1 (826) 555-4081"]
+    assert pii.redacted(text, every) == "oument éreé. [PHONE] [IP] du"
+
+
+def test_long_documents_have_several_graphs():
+    """Evidence reaches all segments of a document, and ordinary numbers stay, however many."""
+    f = pii.model()
+    text = "x (017) 555-7713 " * 300 + "+1 (017) 555-7713 " + "y 12 z 2048 w (017) 555-7713 " * 300
+    base_ = pii.base_spans(text)
+    got = pii.added_spans(text, base_, f, size=50)
+    assert [k for k, _, _ in got] == ["phone"] * 600 and {text[a:b] for _, a, b in got} == {"(017) 555-7713"}
+    r = random.Random(5)
+    for numbers in ("12 2048 7 " * 20_000, " ".join(str(r.randint(0, 10 ** r.randint(1, 8))) for _ in range(60_000)), "1.5 2.25 10.125 " * 2_000):
+        assert pii.added_spans(numbers, [], f, size=20_000) == []
+
+
+def test_personal_data_in_bytes_that_are_no_text(spark):
+    docs = invalid(spark, b"\xff mail bob77@host.example.com", b"\xfe nothing")
+    by = {r["doc_id"]: r for r in pii.spans(spark, docs).collect()}
+    assert by[0]["spans"] == "email:7:29" and by[1]["spans"] == ""
+    red = pii.redact(spark, docs).select("doc_id", F.hex(F.col("text").cast("binary")).alias("h")).collect()
+    assert {r["doc_id"]: bytes.fromhex(r["h"]) for r in red} == {0: "\ufffd mail [EMAIL]".encode(), 1: b"\xfe nothing"}
+
+
 # --- near duplicates -------------------------------------------------------------------
 
 
