@@ -12,7 +12,8 @@ its length; ranks are made from (length, salt) cells, so a length that a third o
 pieces share is spread over many tasks.
 
 Defined cases: a null text is empty and packs as one piece, id 0 alone; equal doc_ids
-are separate documents; a null doc_id is kept; an empty table gives an empty result.
+are separate documents; a null doc_id is kept; an empty table gives an empty result; bytes
+that are not valid UTF-8 are encoded as replacement characters.
 """
 
 from __future__ import annotations
@@ -192,7 +193,7 @@ def cut(docs: DataFrame, path: str, max_len: int = MAX_LEN) -> DataFrame:
         for b in batches:
             out: list[list] = [[] for _ in range(6)]
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = memoryview((tok.encode(text) if text else b"") + b"\0\0\0\0")
+                data = memoryview((tok.encode(text.decode("utf-8", "replace")) if text else b"") + b"\0\0\0\0")
                 for k, at in enumerate(range(0, len(data), 4 * max_len)):
                     part = data[at : at + 4 * max_len]
                     crc = zlib.crc32(part)
@@ -201,7 +202,7 @@ def cut(docs: DataFrame, path: str, max_len: int = MAX_LEN) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, PIECES)
 
 
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"

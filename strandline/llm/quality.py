@@ -3,19 +3,20 @@ compresses it better than one of bad text.
 
 Two zstandard dictionaries are built from labelled texts, one per label. A text is
 cut into blocks, since a dictionary helps only the start of a long input, and each
-block of the whole text is compressed with the good, the bad and no dictionary. The
-size difference, normalised by the plain compressed size, and the compressed sizes
-per byte are calibrated to a probability by logistic regression on texts that the
-dictionaries did not see (folds by crc32 of the id).
+block of the whole text is compressed with the good and with the bad dictionary. The
+difference of the compressed sizes per byte of text, and nothing else, is calibrated to a
+probability by logistic regression on texts that the dictionaries did not see (folds by
+crc32 of the id).
 
 The fit uses a bounded sample: at most ``max_rows`` labelled rows per label, those
-with the least crc32 of their id, and of each text's bytes all that fit in
-``max_bytes`` in total. Scoring reads every whole text.
-
-Defined cases: null and empty texts are scored as empty; a document whose label is
-null is not learned from; several labels of one doc_id all count; without rows of
-both labels the score is 0.5 for all; a null doc_id counts as the text '' for the
-hold-out. Labels, lang, source and doc_id are no inputs of a score.
+with the least crc32 of their id (of several texts of one id, that of least hash), and at
+most ``max_bytes`` of text in total: if the sampled texts are longer, the longest give
+blocks from all over them instead. Scoring reads every whole text.
+
+Defined cases: null and empty texts are scored as empty (a difference of 0); a document
+whose label is null is not learned from; several labels of one doc_id all count; without
+rows of both labels the score is 0.5 for all; a null doc_id counts as the text '' for the
+hold-out. Labels, lang, source, doc_id and the text's length are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import store
 
-BLOCK, LEVEL, DICTIONARY = 1024, 3, 112_640
+BLOCK, LEVEL, DICTIONARY = 256, 3, 112_640
 MAX_ROWS, MAX_BYTES, FOLDS = 3_000, 24_000_000, 3
 THRESHOLD = 0.3
 
@@ -45,20 +46,18 @@ class Model:
 
     good: bytes
     bad: bytes
-    mean: np.ndarray
-    scale: np.ndarray
-    weights: np.ndarray
-    known: bool = True
+    slope: float = 0.0
+    offset: float = 0.0
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_sizes"}
 
     def score(self, data: bytes) -> float:
-        if not self.known:
+        if not self.slope and not self.offset:
             return 0.5
         if not hasattr(self, "_sizes"):
             self._sizes = Sizes(self.good, self.bad)
-        return float(_sigmoid(_quadratic(np.array([self._sizes.features(data)]), self.mean, self.scale) @ self.weights)[0])
+        return float(_sigmoid(self.offset + self.slope * self._sizes.difference(data)))
 
 
 class Sizes:
@@ -68,32 +67,24 @@ class Sizes:
         import zstandard as z
 
         def made(d):
-            return z.ZstdCompressor(level=LEVEL, dict_data=z.ZstdCompressionDict(d) if d else None, write_content_size=False, write_checksum=False)
+            return z.ZstdCompressor(level=LEVEL, dict_data=z.ZstdCompressionDict(d), write_content_size=False, write_checksum=False)
 
-        self.good, self.bad, self.plain = made(good), made(bad), made(None)
+        self.good, self.bad = made(good), made(bad)
 
-    def features(self, data: bytes, length: int | None = None) -> list[float]:
-        """Of a text, or of blocks of one of ``length`` bytes."""
-        g = b = p = 0
-        for at in range(0, max(1, len(data)), BLOCK):
+    def difference(self, data: bytes) -> float:
+        """How many bytes fewer the good dictionary takes for a byte of text."""
+        good, bad, total = self.good.compress, self.bad.compress, 0
+        for at in range(0, len(data), BLOCK):
             part = data[at : at + BLOCK]
-            g, b, p = g + len(self.good.compress(part)), b + len(self.bad.compress(part)), p + len(self.plain.compress(part))
-        n = max(1, len(data) if length is None else length)
-        g, b, p = (v * (n / max(1, len(data))) for v in (g, b, p))
-        return [(b - g) / p, (b - g) / n, p / n, min(g, b) / n, np.log(n), 1 / (1 + n / 50)]
+            total += len(bad(part)) - len(good(part))
+        return total / max(1, len(data))
 
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _quadratic(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
-    z = np.clip((x - mean) / scale, -4, 4)
-    i, j = np.triu_indices(z.shape[1])
-    return np.concatenate([np.ones((len(z), 1)), z, z[:, i] * z[:, j]], axis=1)
-
-
-def _logistic(a: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def _logistic(a: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     w = np.zeros(a.shape[1])
     for _ in range(30):
         p = _sigmoid(a @ w)
@@ -115,28 +106,27 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"".join(parts)[-DICTIONARY:]
 
 
-def fit(rows: list[tuple[int, bytes, int, int]]) -> Model:
-    """A model of rows (crc of the id, text or blocks of it, label 0 or 1, length of the text)."""
+def fit(rows: list[tuple[int, bytes, int]]) -> Model:
+    """A model of rows (crc of the id, text or blocks of it, label 0 or 1)."""
     rows = sorted(rows)
     y = np.array([r[2] for r in rows])
-    none = Model(b"", b"", np.zeros(6), np.ones(6), np.zeros(1), False)
     if not rows or y.min() == y.max():
-        return none
+        return Model(b"", b"")
     fold = np.array([r[0] // 5 % FOLDS for r in rows])
-    x, ok = np.zeros((len(rows), 6)), np.zeros(len(rows), bool)
+    x, ok = np.zeros(len(rows)), np.zeros(len(rows), bool)
     for k in range(FOLDS):
-        sides = [[t for (_, t, label, _), f in zip(rows, fold, strict=True) if label == side and f != k and t] for side in (1, 0)]
+        sides = [[t for (_, t, label), f in zip(rows, fold, strict=True) if label == side and f != k and t] for side in (1, 0)]
         if not all(sides):
             continue
         sizes = Sizes(*map(_dictionary, sides))
         for i in np.flatnonzero(fold == k):
-            x[i], ok[i] = sizes.features(rows[i][1], rows[i][3]), True
+            x[i], ok[i] = sizes.difference(rows[i][1]), True
     if not ok.any() or y[ok].min() == y[ok].max():
-        return none
-    mean, scale = x[ok].mean(0), x[ok].std(0) + 1e-9
-    weights = _logistic(_quadratic(x[ok], mean, scale), y[ok])
-    good, bad = (_dictionary([t for _, t, label, _ in rows if label == side and t]) for side in (1, 0))
-    return Model(good, bad, mean, scale, weights)
+        return Model(b"", b"")
+    mean, scale = x[ok].mean(), x[ok].std() + 1e-9
+    offset, slope = _logistic(np.column_stack([np.ones(ok.sum()), (x[ok] - mean) / scale]), y[ok])
+    good, bad = (_dictionary([t for _, t, label in rows if label == side and t]) for side in (1, 0))
+    return Model(good, bad, float(slope / scale), float(offset - slope * mean / scale))
 
 
 def _share(sizes: list[int], budget: int) -> int:
@@ -169,12 +159,13 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int
     wanted = spark.createDataFrame([tuple(r) for r in chosen], usable.schema).coalesce(1)  # at most 2 * max_rows rows
     have = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id")
     keys = ["crc", "doc_id", "quality", "n", "key"]
-    data = F.coalesce(F.encode("text", "utf-8"), F.lit(b""))
+    data = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     texts = have.select("crc", "doc_id", "quality", F.octet_length(data).cast("long").alias("n"), F.xxhash64(data).alias("key"), data.alias("data"))
-    sizes = [r["n"] for r in texts.select(keys).distinct().orderBy(keys).limit(4 * max_rows).select("n").collect()]
-    got = texts.select(*keys, _blocks(_share(sizes, max_bytes)).alias("data")).dropDuplicates(keys).orderBy(keys).limit(4 * max_rows)
-    rows = [(int(r["crc"]), b"".join(map(bytes, r["data"])), r["quality"], r["n"]) for r in got.toLocalIterator()]
-    return fit(rows)
+    # of several texts of an id, one: at most a row for each chosen label
+    one = texts.groupBy(*keys[:3]).agg(F.min(F.struct("key", "n")).alias("k")).select(*keys[:3], "k.key", "k.n")
+    sizes = [r["n"] for r in one.select("n").collect()]
+    got = texts.join(F.broadcast(one), keys).select(*keys, _blocks(_share(sizes, max_bytes)).alias("data")).dropDuplicates(keys)
+    return fit([(int(r["crc"]), b"".join(map(bytes, r["data"])), r["quality"]) for r in got.toLocalIterator()])
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str] | None = None, out: tuple[str, str] = ("score", "predicted")) -> DataFrame:
