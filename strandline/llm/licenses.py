@@ -4,17 +4,20 @@ Templates are cut into words; of the hashes of each ``GRAM`` words, the least in
 window of ``WINDOW`` hashes is kept, and an inverted index maps it to the template and
 its place. A text that shares ``GRAM + WINDOW - 1`` words in a row with a template
 shares a fingerprint, so every hash of a text is looked up. Hits on near diagonals form
-a candidate, which a banded local alignment of the two word sequences scores: matches,
+a candidate if enough of the template's words stand anywhere in that stretch of the text
+(fewer can't be matched in order either). A banded local alignment of the two word sequences scores it: matches,
 mismatches and gaps within ``BAND`` words of the diagonal (fewer for short templates). A match is reported with the
 share of the template's words that it covers and its span in the text.
 
 The templates' index is bounded by the template list and travels with each task; texts
 are scanned whole, wherever they lie, so nothing is shuffled.
 
-Defined cases: words are runs of letters and digits, compared in lower case; null and
+Defined cases: words are runs of letters and digits, compared in lower case; spans are
+places in the text as it is, in code points; bytes that are not valid UTF-8 count as
+replacement characters; repeated rows are searched as they come; null and
 empty texts have no matches; a template below ``GRAM`` words is an error; a text with
-the same license twice gives two rows; of matches that overlap, the one with more
-matched words stays, ties to the earlier start, then the lesser template name.
+the same license twice gives two rows; of matches that overlap, the one of the higher
+alignment score stays, ties to the earlier start, then the lesser template name.
 """
 
 from __future__ import annotations
@@ -41,9 +44,19 @@ TEMPLATES = {
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "isc": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
-    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    "lgpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "agpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "bsl-1.0": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.',
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "cc-by-sa-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
 }
 
 
@@ -93,7 +106,7 @@ class Index:
     def __init__(self, templates: dict[str, str]):
         words = Words()
         self.names = sorted(templates)
-        self.words = [words.hashes(_WORD.findall(templates[n].lower())) for n in self.names]
+        self.words = [words.hashes([w.lower() for w in _WORD.findall(templates[n])]) for n in self.names]
         if short := [n for n, w in zip(self.names, self.words, strict=True) if len(w) < GRAM]:
             raise ValueError(f"templates of fewer than {GRAM} words: {short}")
         rows = [(int(g[p]), t, int(p)) for t, g in enumerate(map(grams, self.words)) for p in winnow(g)]
@@ -150,16 +163,13 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAN
 
 def scan(text: str, index: Index, words: Words, coverage: float = COVERAGE) -> list[tuple[str, int, int, int, int, float]]:
     """(template, start, end, matched words, template words, coverage) in text order."""
-    low = text.lower()
-    same_places = len(low) == len(text)
-    found = _WORD.findall(low)
-    if len(found) < GRAM:
+    marks = [m.span() for m in _WORD.finditer(text)]
+    if len(marks) < GRAM:
         return []
-    h = words.hashes(found)
+    h = words.hashes([text[a:b].lower() for a, b in marks])
     hits = index.hits(grams(h))
     if not len(hits):
         return []
-    marks = [m.span() for m in _WORD.finditer(low if same_places else text)]
     candidates = set()
     order = np.lexsort((hits[:, 2] - hits[:, 1], hits[:, 0]))
     last = None
@@ -175,18 +185,18 @@ def scan(text: str, index: Index, words: Words, coverage: float = COVERAGE) -> l
         w = index.words[t]
         band = band_of(w)
         lo, hi = max(0, d - band), min(len(h), d + len(w) + band)
+        if np.isin(w, h[lo:hi]).sum() < coverage * len(w):
+            continue
         score, matched, a, b = align(w, h[lo:hi], d - lo, band)
         if score > 0 and matched >= coverage * len(w):
-            rows.append((matched, lo + a, lo + b, index.names[t], len(w)))
-    rows.sort(key=lambda r: (-r[0], r[1], r[3]))
+            rows.append((matched, lo + a, lo + b, index.names[t], len(w), score))
+    rows.sort(key=lambda r: (-r[5], r[1], r[3]))
     kept: list[tuple] = []
     for r in rows:
         if all(r[2] <= k[1] or r[1] >= k[2] for k in kept):
             kept.append(r)
     kept.sort(key=lambda r: r[1])
-    if len(marks) != len(found):  # lower case made other words; places are of the lowered text
-        marks = [m.span() for m in _WORD.finditer(low)]
-    return [(n, marks[a][0], marks[b - 1][1], m, size, m / size) for m, a, b, n, size in kept]
+    return [(n, marks[a][0], marks[b - 1][1], m, size, m / size) for m, a, b, n, size, _ in kept]
 
 
 SCHEMA = "doc_id long, license string, start long, end long, matched_words int, template_words int, coverage double"
@@ -200,12 +210,12 @@ def find(spark: SparkSession, docs: DataFrame, templates: dict[str, str] | None
     def run(batches):
         index, words = held.value, Words()
         for b in batches:
-            rows = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for m in scan(t, index, words, coverage)]
+            rows = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for m in scan(t.decode("utf-8", "replace"), index, words, coverage)]
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
             cols = list(zip(*rows, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, SCHEMA)
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

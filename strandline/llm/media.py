@@ -5,7 +5,9 @@ walks the nested boxes of a container, decodes its sample tables and reports cod
 duration and the byte ranges of keyframes, touching no payload byte; ``samples``
 reads the stored bytes back by those tables. Containers whose index comes before or
 after the media data, 32- and 64-bit boxes and chunk offsets, constant or listed
-sample sizes, several tracks, and both sync-sample conventions are read.
+sample sizes, several tracks, movie fragments with their runs of samples, and both
+sync-sample conventions are read. What a probe reports at its top is the first video
+track, or the first track if there is none; ``tracks`` has them all.
 
 Defined cases: a null text is an empty payload; an empty payload becomes one sample
 of 64 zero bytes; a null, cut or non-ISO container probes to null fields with
@@ -31,6 +33,7 @@ UNIT = 64  # bytes of a sample: 64 unsigned 8-bit audio frames
 TIMESCALE = 8000
 KEY_EVERY = 16
 CHUNK = 32  # samples of a chunk
+DEEPEST = 32
 #: Boxes that hold boxes, with the bytes of their own fields before those.
 NESTED = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"stbl": 0, b"edts": 0, b"dinf": 0, b"udta": 0, b"mvex": 0, b"moof": 0, b"traf": 0}
 
@@ -93,10 +96,13 @@ def mux(payload: bytes) -> bytes:
     return b"".join((_FTYP, moov, data, payload))
 
 
-def boxes(data: bytes | memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """Each box below ``data``: its path of kinds, and where its body starts and ends."""
-    end = len(data) if end is None else end
-    while start < end:
+def boxes(data: bytes | memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int, int]]:
+    """Each box of ``data``: its path of kinds, where it starts, and where its body starts and ends."""
+    todo = [(0, len(data), ())]
+    while todo:
+        start, end, path = todo.pop()
+        if start >= end:
+            continue
         if end - start < 8:
             raise ValueError("cut box header")
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -110,10 +116,12 @@ def boxes(data: bytes | memoryview, start: int = 0, end: int | None = None, path
             size = end - start
         if size < body - start or start + size > end:
             raise ValueError(f"box {kind!r} has size {size} of {end - start}")
-        yield (*path, kind), body, start + size
+        todo.append((start + size, end, path))
         if kind in NESTED:
-            yield from boxes(data, body + NESTED[kind], start + size, (*path, kind))
-        start += size
+            if len(path) >= DEEPEST:
+                raise ValueError("boxes nested too deep")
+            todo.append((body + NESTED[kind], start + size, (*path, kind)))
+        yield (*path, kind), start, body, start + size
 
 
 def _table(data, at: int, end: int, width: str, columns: int, skip: int = 4) -> np.ndarray:
@@ -124,18 +132,78 @@ def _table(data, at: int, end: int, width: str, columns: int, skip: int = 4) ->
     return np.frombuffer(data, width, n * columns, at + skip + 4).astype(np.int64).reshape(n, columns)
 
 
+def _fields(data, at: int, end: int, flags: int, layout: tuple[tuple[int, str], ...]) -> tuple[dict[int, int], int]:
+    """The optional fields, in order, whose bits ``flags`` has, and where they end."""
+    out = {}
+    for bit, kind in layout:
+        if flags & bit:
+            size = struct.calcsize(kind)
+            if at + size > end:
+                raise ValueError("cut fragment")
+            (out[bit],) = struct.unpack_from(kind, data, at)
+            at += size
+    return out, at
+
+
+class _Fragment:
+    """The track fragment that is read: its track, defaults, and where its next run lies."""
+
+    def __init__(self, data, at: int, end: int, by_id: dict, moof: int, after: int | None):
+        (head, self.track_id) = struct.unpack_from(">II", data, at)
+        flags = head & 0xFFFFFF
+        own, _ = _fields(data, at + 8, end, flags, ((0x1, ">Q"), (0x2, ">I"), (0x8, ">I"), (0x10, ">I"), (0x20, ">I")))
+        self.track = by_id.get(self.track_id)
+        if self.track is None:
+            raise ValueError("fragment of an unknown track")
+        default = self.track["trex"]
+        self.duration, self.size, self.flags = (own.get(bit, default[k]) for k, bit in enumerate((0x8, 0x10, 0x20)))
+        self.base = own[0x1] if 0x1 in own else moof if flags & 0x20000 or after is None else after
+        self.next = self.base
+
+    def run(self, data, at: int, end: int) -> None:
+        """The samples of a run, put after those that the track has."""
+        head, n = struct.unpack_from(">II", data, at)
+        flags = head & 0xFFFFFF
+        top, at = _fields(data, at + 8, end, flags, ((0x1, ">i"), (0x4, ">I")))
+        kinds = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+        if at + 4 * n * len(kinds) > end or not kinds and n * max(1, self.size) > len(data):
+            raise ValueError("cut fragment run")
+        table = np.frombuffer(data, ">u4", n * len(kinds), at).astype(np.int64).reshape(n, len(kinds))
+
+        def column(bit: int, default: int) -> np.ndarray:
+            return table[:, kinds.index(bit)] if bit in kinds else np.full(n, default, np.int64)
+
+        steps, size, own = column(0x100, self.duration), column(0x200, self.size), column(0x400, self.flags).copy()
+        if n and 0x4 in top and 0x400 not in kinds:
+            own[0] = top[0x4]
+        start = self.base + top[0x1] if 0x1 in top else self.next
+        t = self.track
+        t["parts"].append((start + np.cumsum(size) - size, size, t["clock"] + np.cumsum(steps) - steps, own & 0x10000 == 0))
+        t["clock"] += int(steps.sum())
+        self.next = start + int(size.sum())
+
+
 def tracks(data: bytes) -> list[dict]:
     """The tracks of a container: codec, kind, timescale, duration, and one offset,
-    size, time and keyframe flag per sample."""
+    size, time and keyframe flag per sample, those of fragments included."""
     found: list[dict] = []
-    for path, at, end in boxes(data):
+    defaults: dict[int, tuple[int, int, int]] = {}
+    fragments: list[tuple[bytes, int, int, int]] = []
+    for path, start, at, end in boxes(data):
         kind = path[-1]
         if kind == b"trak":
-            found.append({"size": None, "sync": None})
+            found.append({"size": None, "sync": None, "parts": [], "clock": 0, "id": None})
+        elif path == (b"moov", b"mvex", b"trex"):
+            track_id, _, *own = struct.unpack_from(">5I", data, at + 4)
+            defaults[track_id] = tuple(own)
+        elif kind == b"moof" or path[:2] == (b"moof", b"traf"):
+            fragments.append((kind, start, at, end))
         if len(path) < 3 or path[:2] != (b"moov", b"trak"):
             continue
         t = found[-1]
-        if kind == b"mdhd":
+        if kind == b"tkhd":
+            (t["id"],) = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))
+        elif kind == b"mdhd":
             wide = data[at] == 1
             t["timescale"], t["duration"] = struct.unpack_from(">IQ" if wide else ">II", data, at + (20 if wide else 12))
         elif kind == b"hdlr":
@@ -157,40 +225,60 @@ def tracks(data: bytes) -> list[dict]:
             t["chunks"] = _table(data, at, end, ">u4" if kind == b"stco" else ">u8", 1)[:, 0]
     for t in found:
         size, runs, chunks = t["size"], t["stsc"], t["chunks"]
-        last = np.append(runs[1:, 0], len(chunks) + 1)
-        if (last < runs[:, 0]).any() or int(t["stts"][:, 0].sum()) != len(size):
-            raise ValueError("sample tables disagree")
-        in_chunk = np.repeat(runs[:, 1], last - runs[:, 0])
-        if len(in_chunk) != len(chunks) or int(in_chunk.sum()) != len(size):
+        # all is checked before anything is unrolled
+        last = np.append(runs[1:, 0], len(chunks) + 1)[: len(runs)]
+        own = last - runs[:, 0]
+        if (own <= 0).any() or (len(runs) and runs[0, 0] != 1) or bool(len(runs)) != bool(len(chunks)) or int(t["stts"][:, 0].sum()) != len(size) or sum(a * b for a, b in zip(runs[:, 1].tolist(), own.tolist(), strict=True)) != len(size):
             raise ValueError("sample tables disagree")
+        in_chunk = np.repeat(runs[:, 1], own)
         chunk = np.repeat(np.arange(len(chunks)), in_chunk)
         before = np.cumsum(size) - size
         first = np.cumsum(in_chunk) - in_chunk
         t["offset"] = chunks[chunk] + before - before[first[chunk]] if len(size) else before
-        if len(size) and int((t["offset"] + size).max()) > len(data):
-            raise ValueError("samples beyond the end")
         steps = np.repeat(t["stts"][:, 1], t["stts"][:, 0])
         t["time"] = np.cumsum(steps) - steps
         t["key"] = np.ones(len(size), bool) if t["sync"] is None else np.isin(np.arange(1, len(size) + 1), t["sync"])
+        t["clock"], t["trex"] = int(steps.sum()), defaults.get(t["id"], (0, 0, 0))
+    by_id = {t["id"]: t for t in found}
+    moof, after, open_ = 0, None, None
+    for kind, start, at, end in fragments:
+        if kind == b"moof":
+            moof, after, open_ = start, None, None
+        elif kind == b"tfhd":
+            open_ = _Fragment(data, at, end, by_id, moof, after if open_ is None else open_.next)
+        elif kind in (b"tfdt", b"trun") and open_ is None:
+            raise ValueError("fragment without header")
+        elif kind == b"tfdt":
+            (open_.track["clock"],) = struct.unpack_from(">Q" if data[at] == 1 else ">I", data, at + 4)
+        elif kind == b"trun":
+            open_.run(data, at, end)
+    for t in found:
+        for k, name in enumerate(("offset", "size", "time", "key")):
+            t[name] = np.concatenate([t[name], *(p[k] for p in t["parts"])])
+        if len(t["size"]) and (int(t["offset"].min()) < 0 or int((t["offset"] + t["size"]).max()) > len(data)):
+            raise ValueError("samples beyond the end")
+        if t["parts"]:
+            t["duration"] = max(t["duration"], t["clock"])
     return found
 
 
+_TRACK = ("codec", "kind", "timescale", "duration", "samples", "key_start", "key_bytes", "key_time")
+
+
 def probe(data: bytes | None) -> dict:
     """What a table stores of a container. Only index boxes are read."""
     try:
         if not data:
             raise ValueError("no bytes")
-        t = tracks(data)
-        if not t:
+        every = []
+        for t in tracks(data):
+            key = np.flatnonzero(t["key"])
+            every.append(dict(zip(_TRACK, (t["codec"], t["kind"], t["timescale"], t["duration"], len(t["size"]), t["offset"][key], t["size"][key], t["time"][key]), strict=True)))
+        if not every:
             raise ValueError("no track")
-        t = t[0]
-        key = np.flatnonzero(t["key"])
-        return {
-            "codec": t["codec"], "kind": t["kind"], "timescale": t["timescale"], "duration": t["duration"], "samples": len(t["size"]),
-            "key_start": t["offset"][key], "key_bytes": t["size"][key], "key_time": t["time"][key], "error": None,
-        }
+        return {**next((t for t in every if t["kind"] == "vide"), every[0]), "tracks": every, "error": None}
     except (ValueError, KeyError, IndexError, TypeError, struct.error, OverflowError, MemoryError) as e:
-        return {"codec": None, "kind": None, "timescale": None, "duration": None, "samples": None, "key_start": [], "key_bytes": [], "key_time": [], "error": str(e) or type(e).__name__}
+        return {**dict.fromkeys(_TRACK[:5]), **{k: [] for k in _TRACK[5:]}, "tracks": [], "error": str(e) or type(e).__name__}
 
 
 def samples(data: bytes, track: int = 0) -> bytes:
@@ -206,7 +294,8 @@ def samples(data: bytes, track: int = 0) -> bytes:
     return b"".join(view[start[a] : start[b] + size[b]] for a, b in zip(lo, hi, strict=True))
 
 
-_PROBE = "codec string, kind string, timescale long, duration long, samples long, key_start array<long>, key_bytes array<long>, key_time array<long>, error string"
+_PROBE = "codec string, kind string, timescale long, duration long, samples long, key_start array<long>, key_bytes array<long>, key_time array<long>"
+_PROBE_ALL = f"{_PROBE}, tracks array<struct<{_PROBE.replace(' ', ': ').replace(',:', ',')}>>, error string"
 
 
 def mux_column(docs: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
@@ -224,9 +313,13 @@ def probe_column(df: DataFrame, media: str = "media", out: str = "probe") -> Dat
     """``df`` with a struct column ``out``: codec, duration, keyframe byte ranges."""
     out = store.free_name(df, out)
 
-    @F.pandas_udf(_PROBE)
+    @F.pandas_udf(_PROBE_ALL)
     def udf(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([probe(x) for x in s], columns=[x.split()[0] for x in _PROBE.split(", ")]).astype({k: "Int64" for k in ("timescale", "duration", "samples")})
+        rows = []
+        for p in map(probe, s):
+            p["tracks"] = [{k: list(v) if isinstance(v, np.ndarray) else v for k, v in t.items()} for t in p["tracks"]]
+            rows.append(p)
+        return pd.DataFrame(rows, columns=[*_TRACK, "tracks", "error"]).astype({k: "Int64" for k in ("timescale", "duration", "samples")})
 
     return df.withColumn(out, udf(store.col(media)))
 

@@ -81,6 +81,67 @@ def test_media_reads_other_layouts():
     assert media.samples(m) == data
 
 
+def fragmented():
+    """An audio track and a video track whose samples lie in two movie fragments."""
+    box, full = media._box, media._full
+    empty = [full(k, bytes(4)) for k in (b"stts", b"stsc", b"stco")] + [full(b"stsz", bytes(8))]
+
+    def trak(n, codec, kind):
+        stbl = box(b"stbl", full(b"stsd", struct.pack(">I", 1), box(codec, bytes(78))), *empty)
+        return box(b"trak", full(b"tkhd", struct.pack(">IIIII", 0, 0, n, 0, 0), bytes(60)), box(b"mdia", full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 0, 0, 0)), full(b"hdlr", bytes(4), kind, bytes(12)), box(b"minf", stbl)))
+
+    trex = [full(b"trex", struct.pack(">5I", n, 1, 10 * n, 0, 0x10000 if n == 2 else 0)) for n in (1, 2)]
+    head = box(b"ftyp", b"iso5" + bytes(4)) + box(b"moov", trak(1, b"mp4a", b"soun"), trak(2, b"avc1", b"vide"), box(b"mvex", *trex))
+    out, want = head, []
+    for part in range(2):
+        def moof(offset):
+            audio = box(b"traf", full(b"tfhd", struct.pack(">II", 1, 5), flags=0x20010), full(b"tfdt", struct.pack(">I", 20 * part)), full(b"trun", struct.pack(">Ii", 2, offset), flags=0x1))
+            video = box(b"traf", full(b"tfhd", struct.pack(">I", 2), flags=0x20000), full(b"trun", struct.pack(">IiI", 3, offset + 10, 0), struct.pack(">3I", 7, 8, 9), flags=0x205))
+            return box(b"moof", full(b"mfhd", struct.pack(">I", part + 1)), audio, video)
+
+        size = len(moof(0))
+        data = bytes(range(40 * part, 40 * part + 34))
+        want.append((len(out) + size + 8, data))
+        out += moof(size + 8) + box(b"mdat", data)
+    return out, want
+
+
+def test_media_fragments_and_all_tracks(spark):
+    m, want = fragmented()
+    p = media.probe(m)
+    first = [at + 10 for at, _ in want]
+    assert (p["error"], p["codec"], p["samples"], p["duration"], list(p["key_start"]), list(p["key_bytes"]), list(p["key_time"])) == (None, "avc1", 6, 120, first, [7, 7], [0, 60])
+    assert [(t["codec"], t["samples"], t["duration"], len(t["key_start"])) for t in p["tracks"]] == [("mp4a", 4, 40, 4), ("avc1", 6, 120, 2)]
+    assert media.samples(m, 0) == b"".join(d[:10] for _, d in want) and media.samples(m, 1) == b"".join(d[10:] for _, d in want)
+    df = spark.createDataFrame([(1, bytearray(m), "x"), (2, None, "x")], "id int, media binary, probe string")
+    got = {r["id"]: r["_probe"] for r in media.probe_column(df).collect()}
+    assert [t["codec"] for t in got[1]["tracks"]] == ["mp4a", "avc1"] and got[1]["tracks"][1]["key_start"] == first and got[2]["error"]
+
+
+def test_media_damage_of_any_kind():
+    import tracemalloc
+
+    deep = b""
+    for _ in range(3000):
+        deep = media._box(b"moov", deep)
+    assert "deep" in media.probe(deep)["error"]
+    m = media.mux(media.pad(b"q" * 70_000))
+    at = m.index(b"stsc") + 12
+    forged = m[:at] + struct.pack(">I", 0) + m[at + 4 : at + 12] + struct.pack(">I", 0x7FFFFFFF) + m[at + 16 :]
+    tracemalloc.start()
+    assert media.probe(forged)["error"]
+    assert tracemalloc.get_traced_memory()[1] < 50_000_000
+    tracemalloc.stop()
+    r = random.Random(4)
+    for whole in (m[:2000], fragmented()[0], media.mux(media.pad(b"z" * 3000))):
+        for _ in range(1500):
+            b = bytearray(whole)
+            for _ in range(r.randint(1, 4)):
+                k = r.randrange(len(b))
+                b[k : k + 4] = r.choice([b"\xff\xff\xff\xff", b"\0\0\0\0", r.randbytes(4), b"\x80\0\0\0"])
+            media.probe(bytes(b[: r.choice([len(b), r.randrange(len(b))])]))  # never raises
+
+
 # --- tokens ----------------------------------------------------------------------------
 
 
@@ -120,6 +181,62 @@ def test_license_matches(spark):
     assert licenses.find(spark, table(spark, [])).count() == 0
 
 
+def test_license_places_templates_and_bytes(spark):
+    notice = "Released under the MIT License."
+    t = "İstanbul " * 5 + notice
+    every = {f"{n} text": n for n in licenses.TEMPLATES}
+    texts = [t, *(f"x y {licenses.TEMPLATES[n]} z" for n in every.values())]
+    got: dict = {}
+    for r in licenses.find(spark, table(spark, texts + texts[:1])).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert [t[r["start"] : r["end"]] for r in got[0]] == [notice[:-1]] and len(got[len(texts)]) == 1
+    for k, n in enumerate(every.values()):
+        whole = [r["license"] for r in got[k + 1] if r["coverage"] == 1.0]
+        assert n in whole, n
+    b = licenses.find(spark, invalid(spark, b"\xff Released under the MIT License \xfe")).collect()
+    assert [(r["start"], r["end"]) for r in b] == [(2, 32)]
+
+
+def brute_matches(text, coverage=licenses.COVERAGE):
+    """Templates that some stretch of a text matches: full alignment tables, no index or band."""
+    words = [w.lower() for w in re.findall(r"[^\W_]+", text)]
+    out = set()
+    for name, template in licenses.TEMPLATES.items():
+        w = [x.lower() for x in re.findall(r"[^\W_]+", template)]
+        prev, best = [(0, 0)] * (len(words) + 1), (0, 0)
+        for a in w:
+            row = [(0, 0)]
+            for j, x in enumerate(words):
+                d = prev[j]
+                cell = max((d[0] + 2, d[1] + 1) if a == x else (d[0] - 2, d[1]), (prev[j + 1][0] - 2, prev[j + 1][1]), (row[j][0] - 2, row[j][1]), (0, 0))
+                row.append(cell)
+                best = max(best, cell)
+            prev = row
+        if best[1] >= coverage * len(w):
+            out.add(name)
+    return out
+
+
+def test_license_scan_against_brute_force(spark):
+    """Texts with whole, changed, cut and no license texts: the same licenses, but for those
+    that lie inside a longer match, which are reported as that."""
+    r = random.Random(17)
+    texts = []
+    for n, t in licenses.TEMPLATES.items():
+        w = t.split()
+        if len(w) > 120:
+            continue
+        for share in (0.0, 0.05, 0.5):
+            texts.append(" ".join([prose(r, 10), *(r.choice(WORDS) if r.random() < share else x for x in w), prose(r, 10)]))
+    texts += [prose(r, 80) for _ in range(5)]
+    got: dict = {}
+    for x in licenses.find(spark, table(spark, texts)).collect():
+        got.setdefault(x["doc_id"], []).append(x)
+    for k, t in enumerate(texts):
+        want, have = brute_matches(t), {x["license"] for x in got.get(k, [])}
+        assert have <= want and bool(have) == bool(want)
+
+
 def test_license_alignment_against_full_table():
     """The band finds the best local score wherever the best alignment stays inside it."""
     r = random.Random(7)
