@@ -18,6 +18,8 @@ result. Nothing depends on partitioning, so reruns agree.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,8 @@ from strandline.llm import store
 #: Runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_COPIES = 3
-SALTS = 16
+#: Documents of a (source, size class, salt) cell, which one task ranks; salts, at least.
+CELL, SALTS = 100_000, 16
 SEED = "mix-1"
 
 
@@ -68,14 +71,19 @@ def targets(per_source: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_cop
     return ranked.withColumn("level", level).select("source", "source_size", F.when(capped, F.col("cap").cast("double")).otherwise(share).alias("target"))
 
 
-def _with_cells(docs: DataFrame, sizes: Column, key: Column) -> DataFrame:
+def _salts(docs: DataFrame) -> int:
+    """So many that cells stay bounded even where all documents have one source and size."""
+    return max(SALTS, math.ceil(docs.count() / CELL))
+
+
+def _with_cells(docs: DataFrame, sizes: Column, key: Column, salts: int) -> DataFrame:
     """Adds size, the size class (the highest four bits and their place) and the salt."""
     bits = F.length(F.bin(F.col("_size")))
     return (
         docs.withColumn("_size", sizes)
         .withColumn("_hash", F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")))
         .withColumn("_class", bits * 16 + F.expr("shiftright(_size, greatest(length(bin(_size)) - 4, 0))"))
-        .withColumn("_salt", F.conv(F.substring("_hash", 1, 2), 16, 10).cast("int") % SALTS)
+        .withColumn("_salt", F.conv(F.substring("_hash", 1, 7), 16, 10).cast("int") % salts)
     )
 
 
@@ -103,7 +111,7 @@ def _copies(spark: SparkSession, sized: DataFrame, small: DataFrame, weights, ma
 def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_copies: int = MAX_COPIES, seed: str = SEED) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, copies, taken."""
     slim = docs.select(F.col("doc_id"), F.col("source").alias("_source"), F.col("text").alias("_text"))
-    sized = _with_cells(slim, words(F.col("_text")), F.col("doc_id")).drop("_text")
+    sized = _with_cells(slim, words(F.col("_text")), F.col("doc_id"), _salts(docs)).drop("_text")
     sized = store.materialize(sized, "mix-sizes")
     out = _copies(spark, sized, sized.select("_source", "_class", "_salt", "_size"), weights, max_copies, seed)
     return out.select("doc_id", F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).alias("taken"))
@@ -116,8 +124,9 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, weights: tuple[int, ..
     """
     held = "_row"
     packed = docs.select(F.col("doc_id"), F.col("source").alias("_source"), F.struct(*[store.col(c) for c in docs.columns]).alias(held))
-    sized = _with_cells(packed, words(F.col(f"{held}.text")), F.col("doc_id"))
-    small = _with_cells(docs.select("doc_id", F.col("source").alias("_source"), "text"), words(F.col("text")), F.col("doc_id")).select("_source", "_class", "_salt", "_size")
+    salts = _salts(docs)
+    sized = _with_cells(packed, words(F.col(f"{held}.text")), F.col("doc_id"), salts)
+    small = _with_cells(docs.select("doc_id", F.col("source").alias("_source"), "text"), words(F.col("text")), F.col("doc_id"), salts).select("_source", "_class", "_salt", "_size")
     out = _copies(spark, sized, small, weights, max_copies, seed).where(F.col("_copies") > 0)
     return out.select(held, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_copy")).select(f"{held}.*")
 
@@ -135,7 +144,7 @@ WITH d AS (
   FROM documents),
 c AS (
   SELECT *, length(bin(size)) * 16 + (size >> greatest(length(bin(size)) - 4, 0)) AS cls,
-         CAST('0x' || substr(h, 1, 2) AS INTEGER) % 16 AS salt
+         CAST('0x' || substr(h, 1, 7) AS INTEGER) % greatest(16, CAST(ceil((SELECT count(*) FROM documents) / 100000.0) AS INTEGER)) AS salt
   FROM d),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM c GROUP BY source),
 r AS (

@@ -18,6 +18,7 @@ that are not valid UTF-8 are encoded as replacement characters.
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_left, insort
 
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from strandline.llm import store, tokens
 
 MAX_LEN = 2048
-SALTS = 512
+#: Pieces of a (length, salt) cell, which one task ranks; salts, at least.
+CELL, SALTS = 100_000, 64
 
 
 def patterns(max_len: int, present: np.ndarray) -> np.ndarray:
@@ -197,7 +199,7 @@ def cut(docs: DataFrame, path: str, max_len: int = MAX_LEN) -> DataFrame:
                 for k, at in enumerate(range(0, len(data), 4 * max_len)):
                     part = data[at : at + 4 * max_len]
                     crc = zlib.crc32(part)
-                    for c, v in zip(out, (doc_id, k, at // 4, len(part) // 4, crc, (crc ^ (doc_id or 0) * 2654435761) % SALTS), strict=True):
+                    for c, v in zip(out, (doc_id, k, at // 4, len(part) // 4, crc, (crc ^ (doc_id or 0) * 2654435761) & 0x7FFFFFFF), strict=True):
                         c.append(v)
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
@@ -211,6 +213,8 @@ PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, max_len: int = MAX_LEN) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     pieces = store.materialize(cut(docs, path or tokens.default_path(), max_len), "pieces")
+    salts = max(SALTS, math.ceil(pieces.count() / CELL))  # a length that all pieces have makes cells of CELL pieces
+    pieces = pieces.withColumn("salt", F.col("salt") % salts)
     cells = pieces.groupBy("length", "salt").count()
     cells = store.materialize(cells, "piece-cells")
     hist = np.zeros(max_len + 1, np.int64)

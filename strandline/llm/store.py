@@ -9,15 +9,17 @@ from strandline.work import filesystem, materialize, new_path, remove, root
 
 __all__ = ["BATCH_ROWS", "col", "filesystem", "free_name", "materialize", "new_path", "quoted", "read", "remove", "root", "small_batches"]
 
-#: Rows handed to Python at once. Texts can be long, so batches stay small.
-BATCH_ROWS = 512
+#: Rows and bytes handed to Python at once. Texts can be long, so batches stay small.
+BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to ``BATCH_ROWS``, if they are larger."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """Lowers the session's Arrow batches to ``BATCH_ROWS`` and ``BATCH_BYTES``, if they are
+    larger. Plans run after this returns, so the settings stay; results don't depend on them."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
