@@ -74,7 +74,7 @@ SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 _NEXT = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
 _STOP = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=/>\"']++)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
-_DIGIT = re.compile(r"\d")
+_ZEROS = bytes.maketrans(b"123456789", b"000000000")
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z0-9]+")
 _END = {t: re.compile(rf"</{t}[\s/>]", re.I) for t in RAW}
@@ -246,12 +246,12 @@ def _hash(data: bytes) -> int:
 def subtrees(root: Node) -> dict[int, tuple[int, ...]]:
     """Signed 64-bit hashes of each element that holds text, by ``id(node)``: of its words,
     and of its shape if it is mostly links. The lowest bit says whether it is long and
-    outside of article and main elements."""
+    outside of article and main elements, the next whether it is inside of one."""
     path, todo = {}, [(root, 0, False)]
     while todo:  # from the top: what an element lies in
         node, above, inside = todo.pop()
-        own = _hash(b"%d %s %s" % (above, node.tag.encode(), _DIGIT.sub("0", " ".join(node.words)).encode("utf-8", "surrogatepass")))
         inside = inside or node.tag in ("article", "main")
+        own = 0 if inside else _hash(b"%d %s %s" % (above, node.tag.encode(), " ".join(node.words).encode("utf-8", "surrogatepass").translate(_ZEROS)))
         path[id(node)] = own, inside
         todo += [(k, own, inside) for k in node.kids if type(k) is Node]
     done: dict[int, tuple[int, int, int, int, int]] = {}
@@ -263,11 +263,12 @@ def subtrees(root: Node) -> dict[int, tuple[int, ...]]:
         said, shape, size, links, linked, last = [node.tag.encode()], [node.tag.encode()], 0, 0, 0, None
         for k in node.kids:
             if type(k) is str:
-                t = _SPACE.sub(" ", k).strip()
+                t = " ".join(k.split())
                 if t:
                     size += len(t)
+                    raw = t.lower().encode("utf-8", "surrogatepass")
                     # dates and counters of a notice may differ, numbers in short blocks count
-                    said.append((_DIGIT.sub("0", t) if len(t) >= LONG else t).lower().encode("utf-8", "surrogatepass"))
+                    said.append(raw.translate(_ZEROS) if len(t) >= LONG else raw)
             else:
                 word, form, chars, n, among = done[id(k)]
                 said.append(b"\1%d" % word)
@@ -282,18 +283,15 @@ def subtrees(root: Node) -> dict[int, tuple[int, ...]]:
         own, inside = path[id(node)]
         block = size >= LONG and node.tag not in INLINE
         if size and node.tag not in ("", "html", "body", "article", "main") and (block or not inside and node.tag not in CELLS):
-            far = int(block and not inside)
-            found = [word & -2 | far]
+            found = [word & -4 | inside << 1 | (block and not inside)]
             if not inside and links >= 2 and 2 * linked >= size:
-                found.append(_hash(b"shape %d %d" % (own, form)) & -2)
+                found.append(_hash(b"shape %d %d" % (own, form)) & -4)
             out[id(node)] = tuple(h - (1 << 64) if h >> 63 else h for h in found)
     return out
 
 
-def main_text(root: Node, template: frozenset[int] = frozenset(), hashes: dict[int, tuple[int, ...]] | None = None, rules: bool = True) -> str:
-    """The text of what is left, blocks joined by one space."""
-    dropped = rule_out(root, rules)
-    dropped |= {i for i, own in (hashes or {}).items() if not template.isdisjoint(own)}
+def _tops(root: Node, dropped: set[int]) -> list[Node]:
+    """The outermost article and main elements, in page order."""
     tops, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -303,6 +301,23 @@ def main_text(root: Node, template: frozenset[int] = frozenset(), hashes: dict[i
             tops.append(node)
         else:
             todo += [k for k in reversed(node.kids) if type(k) is Node]
+    return tops
+
+
+def extracted(root: Node, template: frozenset[int]) -> str:
+    """The text without template subtrees. Where articles are the text and the host has no
+    template inside of articles, what lies elsewhere needs no hash."""
+    rules = rule_out(root)
+    if not template or not any(h & 2 for h in template) and _tops(root, rules):
+        return main_text(root, dropped=rules)
+    return main_text(root, template, subtrees(root), dropped=rules)
+
+
+def main_text(root: Node, template: frozenset[int] = frozenset(), hashes: dict[int, tuple[int, ...]] | None = None, rules: bool = True, dropped: set[int] | None = None) -> str:
+    """The text of what is left, blocks joined by one space."""
+    dropped = rule_out(root, rules) if dropped is None else dropped
+    dropped = dropped | {i for i, own in (hashes or {}).items() if not template.isdisjoint(own)}
+    tops = _tops(root, dropped)
     out: list[str] = []
     # texts and the spaces between blocks, in page order
     work: list = list(reversed(tops or [root]))
@@ -414,8 +429,7 @@ def extract(spark: SparkSession, pages: DataFrame, min_pages: int = MIN_PAGES, s
             kinds = b.column(3).to_pylist() if held is None else [held.value.get(host(u)) for u in urls.to_pylist()]
             texts = []
             for page, own in zip(b.column(2), kinds, strict=True):
-                root = parse(_text(page))
-                texts.append(main_text(root, frozenset(own), subtrees(root)) if own else main_text(root))
+                texts.append(extracted(parse(_text(page)), frozenset(own or ())))
             yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, OUT)
