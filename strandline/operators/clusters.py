@@ -82,35 +82,57 @@ def density_cap(prs: DataFrame, max_per_window: int, width: int | None = None) -
     return keyed.join(dense, keys, "left_anti").drop("_w")
 
 
-def overlap_edges(prs: DataFrame, nonreciprocal: bool = False, bin_width: int = BIN, other: DataFrame | None = None) -> DataFrame:
-    """(u, v) by name, u < v: pairs of one kind whose trapezoids overlap. With ``other``:
-    (u, v) with u in ``prs`` and v in ``other``.
+_KEPT = ("name", "chr_l", "chr_r", *_DERIVED)
 
-    Each row goes to the bins that its extent in a touches (at most 2 + lmax / width),
-    rows meet in equal bins, and a pair counts only in the bin where its common extent
-    starts, so it comes once without a distinct.
-    """
-    keep = ["name", "chr_l", "chr_r", *_DERIVED]
-
-    def side(df: DataFrame, p: str) -> DataFrame:
-        df = df.select(*[C(k).alias(p + k) for k in keep])
-        lo, hi = F.floor(C(p + "a0") / F.lit(bin_width)), F.floor(C(p + "a1") / F.lit(bin_width))
-        return df.withColumn(p + "bin", F.explode(F.sequence(lo, hi)))
-
-    p, q = side(prs, "p_"), side(prs if other is None else other, "q_")
-    on = [C("p_" + k) == C("q_" + k) for k in ("chr_l", "chr_r", "same", "bin")]
-    once = C("p_bin") == F.floor(F.greatest("p_a0", "q_a0") / F.lit(bin_width))
-    # cheap tests first: they spare most candidates the geometry
-    test = once & g.kinds_may_meet("p_", "q_", C("p_chr_l") == C("p_chr_r"))
-    if other is None:
-        test = test & (C("p_name") < C("q_name"))
+
+def _binned(prs: DataFrame, p: str, width: int) -> DataFrame:
+    """Rows, with columns prefixed by ``p``, in every cell of the (a, s) grid that their extent touches."""
+    out = prs.select(*[C(k).alias(p + k) for k in _KEPT])
+    for bin_, lo, hi in (("bin", "a0", "a1"), ("band", "s0", "s1")):
+        out = out.withColumn(p + bin_, F.explode(F.sequence(F.floor(C(p + lo) / F.lit(width)), F.floor(C(p + hi) / F.lit(width)))))
+    return out
+
+
+def _meet(nonreciprocal: bool) -> Column:
+    """Whether rows p_ and q_ share a cell and overlap; cheap tests first, for they spare
+    most candidates the geometry."""
+    test = C("p_bin") == C("q_bin")
+    for k in ("band", "chr_l", "chr_r", "same"):
+        test = test & (C("p_" + k) == C("q_" + k))
+    test = test & g.kinds_may_meet("p_", "q_", C("p_chr_l") == C("p_chr_r"))
     if nonreciprocal:
         test = test & g.orientations_match("p_", "q_")
-    test = test & g.overlaps("p_", "q_")
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return p.join(q, cond & test).select(C("p_name").alias("u"), C("q_name").alias("v"))
+    return test & g.overlaps("p_", "q_")
+
+
+def overlap_edges(prs: DataFrame, nonreciprocal: bool = False, bin_width: int = BIN) -> DataFrame:
+    """(u, v) by name, u < v: pairs of one kind whose trapezoids overlap.
+
+    Each row goes to the cells that it touches in a and in the diagonal s, about
+    (1 + lmax / width)(1 + (lmax - lmin) / width) of them, rows meet in equal cells, and a
+    pair counts only in the cell where the common extents start, so it comes once without
+    a distinct. Rows with one end in common and the other far apart never meet.
+    """
+    first = [C("p_" + k) == F.floor(F.greatest("p_" + c, "q_" + c) / F.lit(bin_width)) for k, c in (("bin", "a0"), ("band", "s0"))]
+    p, q = _binned(prs, "p_", bin_width), _binned(prs, "q_", bin_width)
+    return p.join(q, (C("p_name") < C("q_name")) & first[0] & first[1] & _meet(nonreciprocal)).select(C("p_name").alias("u"), C("q_name").alias("v"))
+
+
+def spanning_edges(prs: DataFrame, nonreciprocal: bool = False, bin_width: int = BIN) -> DataFrame:
+    """(u, v): edges that connect the same rows as ``overlap_edges`` does. Rows with equal
+    trapezoids overlap each other and the same others, so they hang under the least of
+    their names and only those names are compared: a pile of n equal rows gives n - 1 edges."""
+    spot = [k for k in _KEPT if k != "name"]
+    firsts = prs.groupBy(*spot).agg(F.min("name").alias("name"))
+    equal = prs.select(*_KEPT).join(firsts.withColumnRenamed("name", "_first"), spot).where("name <> _first")
+    return equal.select(C("_first").alias("u"), C("name").alias("v")).unionByName(overlap_edges(firsts, nonreciprocal, bin_width))
+
+
+def overlapping(prs: DataFrame, other: DataFrame, nonreciprocal: bool = False, bin_width: int = BIN) -> DataFrame:
+    """(name) of the rows of ``prs`` that overlap some row of ``other``: a search per row
+    and cell ends at its first hit."""
+    p, q = _binned(prs, "p_", bin_width), _binned(other, "q_", bin_width)
+    return p.join(q, _meet(nonreciprocal), "left_semi").select(C("p_name").alias("name")).distinct()
 
 
 def box_edges(boxes: DataFrame) -> DataFrame:
@@ -130,7 +152,7 @@ def members(prs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cluster_members(prs: DataFrame, nonreciprocal: bool = False) -> DataFrame:
-    return members(prs, overlap_edges(prs, nonreciprocal))
+    return members(prs, spanning_edges(prs, nonreciprocal))
 
 
 def no_cluster(prs: DataFrame) -> DataFrame:

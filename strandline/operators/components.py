@@ -1,7 +1,8 @@
 """Connected components by alternating star operations on an edge table.
 
-Before the first round every partition replaces its own edges by stars (a union-find over
-its vertices), as partial sums do before a shuffle, so dense groups are sent on as trees.
+Before the first round every partition replaces its own edges by stars, in numpy and some
+hundred thousand edges at a time, as partial sums do before a shuffle, so dense groups are
+sent on as trees.
 Each round hangs every vertex's larger neighbours (large star), then its smaller
 neighbours and itself (small star), under the smallest vertex it knows of. Rounds
 grow with the logarithm of a component's diameter, the edge count does not grow, and
@@ -13,48 +14,56 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline import work
 
 MAX_ROUNDS = 60
-HELD = 1_000_000  # vertices that a partition's union-find holds before it starts anew
+HELD = 1_000_000  # edges that a partition holds before it contracts them
+
+
+def _contract(u: pa.Array, v: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The stars of the connected sets of edges (u, v). Vertices are numbered in their
+    order, and every set's numbers hang under its least by repeated hooking."""
+    ids = pc.unique(pa.concat_arrays([u, v]))
+    ids = ids.take(pc.sort_indices(ids))
+    a, b = (pc.index_in(k, value_set=ids).to_numpy(zero_copy_only=False) for k in (u, v))
+    root = np.arange(len(ids))
+    while True:
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        apart = low < high
+        if not apart.any():
+            break
+        a, b = low[apart], high[apart]
+        np.minimum.at(root, b, a)
+        while not np.array_equal(up := root[root], root):
+            root = up
+        a, b = root[a], root[b]
+    leaves = np.flatnonzero(root < np.arange(len(root)))
+    return ids.take(pa.array(leaves)), ids.take(pa.array(root[leaves]))
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A star for every connected set of the edges seen, in place of those edges."""
-    root: dict = {}
-    schema = None
-
-    def find(a):
-        top = a
-        while root[top] != top:
-            top = root[top]
-        while root[a] != top:
-            root[a], a = top, root[a]
-        return top
-
-    def out():
-        ends = [(a, find(a)) for a in root]
-        ends = [e for e in ends if e[0] != e[1]]
-        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], schema.field(k).type) for k in (0, 1)], names=["u", "v"])
+    held: list[pa.RecordBatch] = []
+
+    def contracted() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        ends = _contract(*[table.column(k).combine_chunks() for k in (0, 1)])
+        return pa.RecordBatch.from_arrays([k.combine_chunks() if isinstance(k, pa.ChunkedArray) else k for k in ends], names=["u", "v"])
 
     for b in batches:
-        schema = b.schema
-        for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            a = find(u) if u in root else root.setdefault(u, u)
-            c = find(v) if v in root else root.setdefault(v, v)
-            if a < c:
-                root[c] = a
-            elif c < a:
-                root[a] = c
-        if len(root) > HELD:
-            yield out()
-            root.clear()
-    if root:
-        yield out()
+        held.append(b)
+        if sum(k.num_rows for k in held) >= HELD:
+            held = [contracted()]
+            if held[0].num_rows > HELD // 2:  # contracting again would not pay
+                yield held.pop()
+    if held:
+        yield contracted()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

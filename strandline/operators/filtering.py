@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.operators.clusters import overlap_edges
+from strandline.operators.clusters import overlapping
 
 C = F.col
 
@@ -13,7 +13,7 @@ C = F.col
 def filter_against(target: DataFrame, reference: DataFrame, nonreciprocal: bool = False) -> tuple[DataFrame, DataFrame]:
     """(retained, removed) of ``target``: pairs that overlap no, or some, reference pair.
     Each side has its own lmin and lmax. Both sides are pr* tables."""
-    hit = overlap_edges(target, nonreciprocal, other=reference).select(C("u").alias("name")).distinct()
+    hit = overlapping(target, reference, nonreciprocal)
     return target.join(hit, "name", "left_anti"), target.join(hit, "name", "left_semi")
 
 

@@ -48,11 +48,13 @@ def pair_mates(classified: DataFrame) -> DataFrame:
     (chr, pos, ord), with prefixes a_ and b_, and the ``route`` of their classes.
 
     Duplicates do not pair. Names with other than two records do not either, except that
-    of more than two the first two by ``ord`` count. One aggregation keyed by name.
+    of more than two the first two by ``ord`` count, which are found before the shuffle
+    and after it, so a name with any number of records costs no more than two of them.
     """
     fields = ["chr", "pos", "ord", "strand", "read_len", "class", "mapq", "flag"]
     rows = classified.where(C("class") != "DUPLICATE").select("name", "library", F.struct(C("ord").alias("o"), *[C(f).alias(f"f_{f}") for f in fields]).alias("r"))
-    two = rows.groupBy("name").agg(F.min("library").alias("library"), F.slice(F.sort_array(F.collect_list("r")), 1, 2).alias("rs")).where(F.size("rs") == 2)
+    early = rows.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("r"))).where("k <= 2")
+    two = early.groupBy("name").agg(F.min("library").alias("library"), F.sort_array(F.collect_list("r")).alias("rs")).where(F.size("rs") == 2)
     swap = F.struct(C("rs")[1]["f_chr"].alias("c"), C("rs")[1]["f_pos"].alias("p"), C("rs")[1]["o"].alias("o")) < F.struct(C("rs")[0]["f_chr"].alias("c"), C("rs")[0]["f_pos"].alias("p"), C("rs")[0]["o"].alias("o"))
     two = with_once(two, {"a": F.when(swap, C("rs")[1]).otherwise(C("rs")[0]), "b": F.when(swap, C("rs")[0]).otherwise(C("rs")[1])})
     out = two.select("name", "library", *[C(s)[f"f_{f}"].alias(f"{s}_{f}") for s in ("a", "b") for f in fields])

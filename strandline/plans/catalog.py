@@ -47,6 +47,12 @@ def _clusters(spark, sf) -> DataFrame:
     return clusters.summarize(_members(spark, sf))
 
 
+def _clusters_again(spark, sf) -> DataFrame:
+    """Clusters of the table in which calls are redundant."""
+    prs = clusters.valid_pairs(fixtures.load(spark, sf, "pr_again"))
+    return clusters.summarize(work.materialize(clusters.cluster_members(prs), "members"))
+
+
 _SUMMARY = ["cluster_id", "chr_l", "chr_r", "num_prs", "type", "left_min", "left_max", "right_min", "right_max"]
 _LEFT = "CAST(CASE WHEN area > 0 THEN a_min ELSE na_min END AS BIGINT) AS left_min, CAST(CASE WHEN area > 0 THEN a_max ELSE na_max END AS BIGINT) AS left_max, CAST(CASE WHEN area > 0 THEN b_min ELSE nb_min END AS BIGINT) AS right_min, CAST(CASE WHEN area > 0 THEN b_max ELSE nb_max END AS BIGINT) AS right_max"
 _SHORT = "CASE WHEN area > 0 THEN round(localization, 6) ELSE -1.0 END AS localization"
@@ -196,7 +202,11 @@ def sv_layout_regions(spark, sf):
     return text.format_clusters(clusters.size_filter(clusters.summarize(_members(spark, sf), True), MIN_SIZE), "regions")
 
 
-@query()
+_NEAREST = "CASE WHEN {0}_lo > 0 AND ({0}_hi IS NULL OR {0}_lo < {0}_hi) THEN {0}_lo ELSE coalesce({0}_hi, 2147483647) END"
+_ENDS = ", ".join(f"CAST(CASE WHEN area > 0 THEN {c}_{m} ELSE {_NEAREST.format(c)} END AS BIGINT) AS {c}_{m[1:]}" for c in "ab" for m in ("min", "max"))
+
+
+@query(sql(["clusters"], f"SELECT concat_ws(chr(9), cluster_id, chr_l, a_in || ',' || a_ax, chr_r, b_in || ',' || b_ax, num_prs, loc, type) AS value FROM (SELECT cluster_id, chr_l, chr_r, num_prs, type, {_LOC} AS loc, {_ENDS} FROM clusters WHERE num_prs >= 4)"))
 def sv_layout_converted(spark, sf):
     lines = sv_layout_regions(spark, sf)
     path = work.new_path(spark, "regions")
@@ -423,7 +433,17 @@ def score_filtered(spark, sf):
     return scoring.llr_filter(_scored(spark, sf)[1], 0.0).select("cluster_id", "code", F.round("llr", 4).alias("llr"))
 
 
-@query()
+_SIDES = "SELECT * FROM (SELECT m.cluster_id, m.name, CASE WHEN x <= a_max AND x+50 >= a_min AND y <= b_max AND y+50 >= b_min THEN 'Both' WHEN x <= a_max AND x+50 >= a_min THEN 'X' WHEN y <= b_max AND y+50 >= b_min THEN 'Y' END AS side FROM members m JOIN clusters c ON m.cluster_id = c.cluster_id AND c.area > 0) WHERE side IS NOT NULL"
+
+
+def _split_sql() -> str:
+    """Intervals and points scored with split reads added to each call's support, without a track."""
+    more = f"(SELECT * REPLACE (num_prs + coalesce(n, 0) AS num_prs) FROM clusters LEFT JOIN (SELECT cluster_id, count(*) AS n FROM ({_SIDES}) GROUP BY 1) USING (cluster_id) WHERE num_prs >= 4)"
+    both = f"SELECT cluster_id, 1 AS code, llr FROM ({_INTERVAL_LLR}) UNION ALL SELECT cluster_id, 0, llr FROM ({_points_sql()})"
+    return both.replace("FROM clusters", f"FROM {more}")
+
+
+@query(sql(["clusters", "members", "concordant", "uniqueness"], _split_sql(), uniqueness=fixtures.duck("uniqueness") + " WHERE false"))
 def score_with_split_reads(spark, sf):
     mem = _members(spark, sf)
     found = work.materialize(clusters.size_filter(clusters.summarize(mem), MIN_SIZE), "clusters")
@@ -437,7 +457,7 @@ def support_filtered(spark, sf):
     return scoring.support_filter(_clusters(spark, sf), 10).select("cluster_id", "num_prs")
 
 
-@query(sql(["clusters", "members"], "SELECT * FROM (SELECT m.cluster_id, m.name, CASE WHEN x <= a_max AND x+50 >= a_min AND y <= b_max AND y+50 >= b_min THEN 'Both' WHEN x <= a_max AND x+50 >= a_min THEN 'X' WHEN y <= b_max AND y+50 >= b_min THEN 'Y' END AS side FROM members m JOIN clusters c ON m.cluster_id = c.cluster_id AND c.area > 0) WHERE side IS NOT NULL"))
+@query(sql(["clusters", "members"], _SIDES))
 def split_read_candidates(spark, sf):
     mem = _members(spark, sf)
     return scoring.split_read_candidates(mem, clusters.summarize(mem), 50)
@@ -534,14 +554,26 @@ WHERE p.area > 0 AND q.area > 0 AND CASE WHEN p.chr_l = p.chr_r THEN q.b_min >=
   ELSE p.a_max >= q.a_min AND q.a_max >= p.a_min AND p.b_max >= q.b_min AND q.b_max >= p.b_min END"""
 
 
-@query(sql(["clusters"], _REDUNDANT))
+def _pruned_sql(calls: str, weight: str, shown: str) -> str:
+    """The greedy pass over ``calls`` in order of cluster_id, one redundant pair per step."""
+    pairs = _REDUNDANT.replace("clusters p", "calls p").replace("clusters q", "calls q")
+    return f"""
+SELECT {shown} FROM (WITH RECURSIVE calls AS MATERIALIZED ({calls}),
+ steps AS MATERIALIZED (SELECT row_number() OVER (ORDER BY u, v) AS k, u, v, CASE WHEN q.{weight} > p.{weight} THEN u ELSE v END AS loser
+   FROM ({pairs}) r JOIN calls p ON p.cluster_id = r.u JOIN calls q ON q.cluster_id = r.v),
+ pass(k, gone) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) UNION ALL
+   SELECT s.k, CASE WHEN list_contains(gone, u) OR list_contains(gone, v) THEN gone ELSE list_append(gone, loser) END FROM pass JOIN steps s ON s.k = pass.k + 1)
+ SELECT calls.* FROM calls, (SELECT arg_max(gone, k) AS gone FROM pass) WHERE area > 0 AND NOT list_contains(gone, cluster_id))"""
+
+
+@query(sql(["clusters"], _REDUNDANT, pr=fixtures.duck("pr_again")))
 def redundant_pairs(spark, sf):
-    return prune.redundant_pairs(_clusters(spark, sf))
+    return prune.redundant_pairs(_clusters_again(spark, sf))
 
 
-@query()
+@query(sql(["clusters"], _pruned_sql("SELECT * FROM clusters WHERE num_prs >= 4", "num_prs", "cluster_id, num_prs, type"), pr=fixtures.duck("pr_again")))
 def pruned_by_support(spark, sf):
-    c = work.materialize(clusters.size_filter(_clusters(spark, sf), MIN_SIZE), "clusters")
+    c = work.materialize(clusters.size_filter(_clusters_again(spark, sf), MIN_SIZE), "clusters")
     return prune.prune(c, "ESP").select("cluster_id", "num_prs", "type")
 
 
@@ -551,9 +583,12 @@ def maximal_subclusters(spark, sf):
     return prune.maximal_subclusters(mem, clusters.summarize(mem)).where(C("num_prs") >= MIN_SIZE)
 
 
-@query()
+_CALLS = f"SELECT c.*, llr FROM clusters c JOIN (SELECT cluster_id, llr FROM ({_INTERVAL_LLR}) WHERE llr >= 0 UNION ALL SELECT cluster_id, llr FROM ({_points_sql()}) WHERE llr >= 0) USING (cluster_id)"
+
+
+@query(sql(["clusters", "concordant", "uniqueness"], _pruned_sql(_CALLS, "llr", "cluster_id, type, num_prs, llr"), pr=fixtures.duck("pr_again")))
 def pipeline_hq(spark, sf):
-    out = pipelines.hq(_pr(spark, sf), fixtures.load(spark, sf, "concordant"), fixtures.load(spark, sf, "uniqueness"), pipelines.PipelineParams(score=SCORE))
+    out = pipelines.hq(fixtures.load(spark, sf, "pr_again"), fixtures.load(spark, sf, "concordant"), fixtures.load(spark, sf, "uniqueness"), pipelines.PipelineParams(score=SCORE))
     return out.select("cluster_id", "type", "num_prs", F.round("llr", 4).alias("llr"))
 
 

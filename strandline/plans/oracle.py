@@ -139,5 +139,6 @@ def needed(names: list[str]) -> list[str]:
     return out
 
 
-def sql(names: list[str], body: str) -> str:
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in needed(names)) + "\n" + body
+def sql(names: list[str], body: str, **instead: str) -> str:
+    """``body`` with the expressions it needs; ``instead`` gives other SQL for some of them."""
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({instead.get(n, CTES[n][1])})" for n in needed(names)) + "\n" + body

@@ -56,8 +56,16 @@ select concat('r', event_id DIV 2) as name, event_id as ord, concat('lib', user_
  case when event_id % 31 = 3 then '-' when event_id % 2 = 0 then '+' else '-' end as strand
 from {events}
 """
+#: ``PR`` and most pairs of one chromosome once more with the right end 500 further on, which makes calls redundant
+PR_AGAIN = f"""
+with base as ({PR})
+select * from base
+union all
+select concat(name, ':again') as name, fragment_id, mapping_id, chr_l, l_start, l_end, l_or, chr_r, r_start + 500 as r_start, r_end + 500 as r_end, r_or, lmin, lmax, sample
+from base where chr_l = chr_r and fragment_id % 3 <> 0
+"""
 #: name -> (SQL, table that it reads)
-TABLES = {"pr": (PR, "lineitem"), "concordant": (CONCORDANT, "orders"), "uniqueness": (UNIQUENESS, "part"), "cgh": (CGH, "supplier"), "reads": (READS, "events")}
+TABLES = {"pr": (PR, "lineitem"), "pr_again": (PR_AGAIN, "lineitem"), "concordant": (CONCORDANT, "orders"), "uniqueness": (UNIQUENESS, "part"), "cgh": (CGH, "supplier"), "reads": (READS, "events")}
 
 
 def duck(name: str) -> str:

@@ -186,7 +186,7 @@ def _boundary() -> Column:
 HEADERS = {
     "standard": "#Cluster_ID:\tLeftChr:\tLeftBreakPoint:\tRightChr:\tRightBreakPoint:\tNum PRS:\tLocalization:\tType:",
     "reads": "#Cluster_ID:\tLeftChr:\tLeftBreakPoint:\tRightChr:\tRightBreakPoint:\tNum PRS:\tLocalization:\tType:\tList of PRS:",
-    "regions": "#Cluster_ID:\tNum PRS:\tLocalization:\tType:\tList of PRS:\tLeft Chr:\tRight Chr:\tBoundary Points:",
+    "regions": "#Cluster_ID:\tNum PRS:\tLocalization:\tType:\tList of PRS:\t LeftChr:\tRightChr:\tBoundary Points:",
 }
 
 

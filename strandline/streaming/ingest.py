@@ -11,19 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from strandline import work
 from strandline.operators import clusters
 
 KEYS = ("chr_l", "chr_r")
+PAIRS = "name string, chr_l long, l_start long, l_end long, l_or string, chr_r long, r_start long, r_end long, r_or string, lmin long, lmax long"
 
 
 def apply_batch(batch: DataFrame, batch_id: int, path: str, min_size: int = 4) -> None:
     """Adds a batch of pr rows and recomputes the clusters of its chromosome pairs."""
     spark = batch.sparkSession
     prs = clusters.valid_pairs(batch)
+    if prs.isEmpty():
+        return
     prs.write.mode("overwrite").partitionBy(*KEYS).parquet(f"{path}/pairs/batch={batch_id}")
-    touched = prs.select(*KEYS).distinct()
-    every = spark.read.option("basePath", f"{path}/pairs").parquet(f"{path}/pairs").drop("batch")
-    again = every.join(touched, list(KEYS), "left_semi")
+    touched = prs.select(*KEYS).distinct().collect()  # at most one row per chromosome pair
+    every = spark.read.schema(prs.schema).option("basePath", f"{path}/pairs").parquet(f"{path}/pairs").drop("batch")
+    # a filter on the folders' names, so no other chromosome pair is read
+    again = every.where(F.col("chr_l").isin([r[0] for r in touched]) & F.col("chr_r").isin([r[1] for r in touched]))
+    again = again.join(F.broadcast(spark.createDataFrame(touched, prs.select(*KEYS).schema)), list(KEYS), "left_semi")
     found = clusters.size_filter(clusters.summarize(clusters.cluster_members(again)), min_size)
     found.withColumns({f"p_{k}": F.col(k) for k in KEYS}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("p_chr_l", "p_chr_r").parquet(f"{path}/clusters")
 
@@ -35,4 +41,8 @@ def cluster_stream(pairs: DataFrame, path: str, checkpoint: str, min_size: int =
 
 
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
+    """The clusters so far; no rows before the first cluster."""
+    fs, at = work.filesystem(spark, f"{path}/clusters")
+    if not fs.exists(at) or not any(f.isDirectory() for f in fs.listStatus(at)):
+        return clusters.summarize(clusters.no_cluster(clusters.valid_pairs(spark.createDataFrame([], PAIRS))))
     return spark.read.parquet(f"{path}/clusters").drop("p_chr_l", "p_chr_r")

@@ -309,3 +309,65 @@ def test_pipelines_per_sample(spark):
     one = pipelines.hq(pr.where("sample = 1"), conc, None, p)
     got = sorted((r["cluster_id"].split("/")[1], r["num_prs"]) for r in every.where("sample = 's1'").collect())
     assert got == sorted((r["cluster_id"], r["num_prs"]) for r in one.collect())
+
+
+def _pile(spark, rows):
+    cols = "name string, chr_l long, l_start long, l_end long, l_or string, chr_r long, r_start long, r_end long, r_or string, lmin long, lmax long"
+    return spark.createDataFrame(rows, cols)
+
+
+def _deletion(name, left, right, chr_r=1):
+    return (name, 1, left, left + 49, "+", chr_r, right, right + 49, "-", 150, 350)
+
+
+def test_equal_pairs_give_a_linear_number_of_edges(spark):
+    rows = [_deletion(f"a{k:04}", 1000, 9000) for k in range(300)] + [_deletion("b", 1010, 9020), _deletion("c", 50_000, 90_000)]
+    prs = clusters.valid_pairs(_pile(spark, rows))
+    assert clusters.spanning_edges(prs).count() == 300
+    assert clusters.overlap_edges(prs).count() == 300 * 299 // 2 + 300
+    found = {r.name: r.cluster_id for r in clusters.cluster_members(prs).collect()}
+    assert {found[f"a{k:04}"] for k in range(300)} == {"a0000"} and found["b"] == "a0000" and found["c"] == "c"
+
+
+def test_one_end_in_common_is_no_overlap(spark):
+    rows = [_deletion(f"t{k}", 1000, 9000 + 5000 * k, 2) for k in range(40)]
+    prs = clusters.valid_pairs(_pile(spark, rows))
+    assert clusters.overlap_edges(prs).count() == 0
+    assert clusters.overlapping(prs, prs).count() == 40
+
+
+def test_stars_of_random_edges_match_a_search(spark):
+    rng = random.Random(5)
+    edges = [(f"v{rng.randrange(400)}", f"v{rng.randrange(400)}") for _ in range(320)]
+    root = {a: a for e in edges for a in e}
+    for _ in range(400):
+        moved = False
+        for a, b in edges:
+            low = min(root[a], root[b])
+            moved |= root[a] != low or root[b] != low
+            root[a] = root[b] = low
+        if not moved:
+            break
+    got = {r.id: r.root for r in components.connected_components(spark.createDataFrame(edges, "u string, v string")).collect()}
+    assert got == root
+
+
+def test_a_stream_may_start_without_a_valid_pair(spark, tmp_path):
+    path = str(tmp_path)
+    ingest.apply_batch(_pile(spark, []), 0, path)
+    assert ingest.read_clusters(spark, path).count() == 0
+    ingest.apply_batch(_pile(spark, [_deletion(f"a{k}", 1000 + k, 9000) for k in range(3)]), 1, path)
+    assert ingest.read_clusters(spark, path).count() == 0
+    ingest.apply_batch(_pile(spark, [_deletion("a3", 1004, 9000)]), 2, path)
+    assert [r.num_prs for r in ingest.read_clusters(spark, path).collect()] == [4]
+
+
+def test_a_name_with_many_records_pairs_its_first_two(spark):
+    cols = "name string, library string, ord long, chr long, pos long, strand string, read_len int, class string, mapq int, flag int"
+    rows = [("n", "l", k, 1, 500 - k, "+", 50, "HIGHQ", 30, 99) for k in range(50)]
+    got = preprocess.pair_mates(spark.createDataFrame(rows, cols)).collect()
+    assert [(r.a_ord, r.b_ord) for r in got] == [(1, 0)]
+
+
+def test_regions_header():
+    assert text.HEADERS["regions"].split("\t")[5:7] == [" LeftChr:", "RightChr:"]
