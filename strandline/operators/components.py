@@ -26,7 +26,7 @@ MAX_ROUNDS = 60
 HELD = 1_000_000  # edges that a partition holds before it contracts them
 
 
-def _contract(u: pa.Array, v: pa.Array) -> tuple[pa.Array, pa.Array]:
+def contract(u: pa.Array, v: pa.Array) -> tuple[pa.Array, pa.Array]:
     """The stars of the connected sets of edges (u, v). Vertices are numbered in their
     order, and every set's numbers hang under its least by repeated hooking."""
     ids = pc.unique(pa.concat_arrays([u, v]))
@@ -53,7 +53,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def contracted() -> pa.RecordBatch:
         table = pa.Table.from_batches(held).combine_chunks()
-        ends = _contract(*[table.column(k).combine_chunks() for k in (0, 1)])
+        ends = contract(*[table.column(k).combine_chunks() for k in (0, 1)])
         return pa.RecordBatch.from_arrays([k.combine_chunks() if isinstance(k, pa.ChunkedArray) else k for k in ends], names=["u", "v"])
 
     for b in batches:
