@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandline.llm import html, licenses, media, mixing, near, neighbours, packing, pii, quality, rollups
+from strandline.llm import html, importance, licenses, media, mixing, near, neighbours, packing, pii, quality, rollups, runs, simhash
 
 QUERIES = {
     "op1_media": media.op1_media,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_neighbours": neighbours.op8_neighbours,
     "op9_near": near.op9_near,
     "op10_pii": pii.op10_pii,
+    "op11_simhash": simhash.op11_simhash,
+    "op12_runs": runs.op12_runs,
+    "op13_importance": importance.op13_importance,
 }
 
 ORACLE_SQL = {"op6_mixing": mixing.OP6_SQL}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.work import filesystem, materialize, new_path, remove, root
 
-__all__ = ["BATCH_ROWS", "col", "filesystem", "free_name", "materialize", "new_path", "quoted", "read", "remove", "root", "small_batches"]
+__all__ = ["BATCH_ROWS", "col", "filesystem", "free_name", "join_spread", "materialize", "new_path", "quoted", "read", "remove", "root", "small_batches"]
 
 #: Rows and bytes handed to Python at once. Texts can be long, so batches stay small.
 BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
@@ -41,3 +41,17 @@ def col(name: str) -> Column:
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
+
+
+#: A key with more than one part in HEAVY of all rows is joined by broadcast: fewer than HEAVY keys are.
+HEAVY = 10_000
+
+
+def join_spread(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """``rows`` joined to ``table`` (one row a key, with the key's number of rows as ``weight``,
+    which is dropped), all keys there. Frequent keys, which would fill single tasks of a
+    shuffle, are broadcast; their number is bounded whatever the data."""
+    often = F.col(weight) > total // HEAVY
+    heavy, rest = (table.where(k).drop(weight) for k in (often, ~often))
+    light = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(rest, key)
+    return rows.join(F.broadcast(heavy), key).unionByName(light)
