@@ -32,6 +32,7 @@ import math
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 from zlib import crc32
 
 import numpy as np
@@ -218,26 +219,33 @@ class Run:
     """A sorted run of entries in blocks, and the place that a merge has come to."""
 
     def __init__(self, number: int, blocks: list[dict]):
-        self.number, self.blocks, self.block, self.at = number, blocks, 0, 0
+        self.number, self.blocks = number, blocks
+        self._open(0)
 
-    def key(self, k: int) -> tuple:
-        b = self.blocks[self.block]
-        return -int(b["score"][k]), int(b["none"][k]), int(b["doc_id"][k]), int(b["n_features"][k]), self.number
+    def _open(self, block: int) -> None:
+        self.block, self.at, self.keys = block, 0, []
+        if block < len(self.blocks):
+            b = self.blocks[block]
+            self.keys = list(zip((-b["score"]).tolist(), *[b[k].tolist() for k in ("none", "doc_id", "n_features")], repeat(self.number)))
 
     def head(self) -> tuple:
         """The key of the next entry; beyond all keys at the end."""
-        return self.key(self.at) if self.block < len(self.blocks) else (math.inf,)
+        return self.keys[self.at] if self.keys else (math.inf,)
 
-    def take_before(self, bound: tuple) -> dict:
-        """The entries of the current block that come before ``bound``; at least one does."""
-        b = self.blocks[self.block]
-        n = len(b["score"])
-        end = n if self.key(n - 1) < bound else bisect_left(range(n), bound, lo=self.at, key=self.key)
-        out = {k: b[k][self.at : end] for k in _ENTRY}
-        self.at = end
-        if end == n:
-            self.block, self.at = self.block + 1, 0
-        return out
+    def take_before(self, bound: tuple) -> tuple[dict, int, int]:
+        """The entries of the current block that come before ``bound``, as (block, from, to);
+        at least one does."""
+        start, end = self.at, self.at + 1
+        if end < len(self.keys) and self.keys[end] < bound:
+            end = bisect_left(self.keys, bound, end)
+        b, self.at = self.blocks[self.block], end
+        if end == len(self.keys):
+            self._open(self.block + 1)
+        return b, start, end
+
+    def rest(self) -> Iterator[tuple[dict, int, int]]:
+        while self.keys:
+            yield self.take_before((math.inf,))
 
 
 class Tournament:
@@ -258,7 +266,7 @@ class Tournament:
             best = best[:node_from]
         self.winner = best[0]
 
-    def stretches(self) -> Iterator[dict]:
+    def stretches(self) -> Iterator[tuple[dict, int, int]]:
         """All entries in order, in stretches of one run that no other comes between."""
         while self.winner[0] < (math.inf,):
             leaf = self.winner[1]
@@ -280,22 +288,36 @@ RANKED = "doc_id long, n_features long, weight long, score long, first long, n l
 COPIES = 50_000  # rows of an entry of RANKED
 
 
+def _joined(stretches: list[tuple[dict, int, int]]) -> dict[str, np.ndarray]:
+    return {k: np.concatenate([b[k][lo:hi] for b, lo, hi in stretches]) for k in _ENTRY}
+
+
 def merge(blocks: list[dict], first: int, take: int) -> Iterator[dict[str, np.ndarray]]:
-    """RANKED columns of one range: ranks from ``first`` on for its ``take`` first documents."""
+    """RANKED columns of one range: ranks from ``first`` on for its ``take`` first documents.
+    What is left of the runs then is not merged any more."""
     by: dict[str, list[dict]] = {}
     for b in sorted(blocks, key=lambda b: (b["run"], b["seq"])):
         by.setdefault(b["run"], []).append(b)
-    left = take
-    for part in Tournament([Run(k, v) for k, v in enumerate(by.values())]).stretches():
-        ends = np.cumsum(part["copies"])
-        if left >= ends[-1]:
-            yield _ranked(part, part["copies"], first + take - left + ends - part["copies"])
-            left -= int(ends[-1])
-            continue
-        drawn = np.clip(left - (ends - part["copies"]), 0, part["copies"])
-        yield _ranked(part, drawn, first + take - left + ends - part["copies"])
-        yield _ranked(part, part["copies"] - drawn, None)
-        left = 0
+    runs = [Run(k, v) for k, v in enumerate(by.values())]
+    left, held, size = take, [], 0
+    for stretch in chain(Tournament(runs).stretches() if take else (), [None]):
+        if stretch is not None:
+            held.append(stretch)
+            size += stretch[2] - stretch[1]
+            if size < min(left, BLOCK):
+                continue
+        if held:
+            part = _joined(held)
+            before = np.cumsum(part["copies"]) - part["copies"]
+            drawn = np.clip(left - before, 0, part["copies"])
+            yield _ranked(part, drawn, first + take - left + before)
+            yield _ranked(part, part["copies"] - drawn, None)
+            left, held, size = left - int(drawn.sum()), [], 0
+        if not left:
+            break
+    for run in runs:
+        for b, lo, hi in run.rest():
+            yield _ranked({k: b[k][lo:hi] for k in _ENTRY}, b["copies"][lo:hi], None)
 
 
 def _ranked(part: dict, n: np.ndarray, first: np.ndarray | None) -> dict:
