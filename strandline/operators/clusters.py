@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline import work
 from strandline.functions import geometry as g
 from strandline.functions.once import with_once
-from strandline.operators.components import connected_components
+from strandline.operators.components import FINISH, connected_components
 from strandline.operators.depth import range_join
+from strandline.operators.spans import spanning_links
 
 C = F.col
 BIN = 512
@@ -118,14 +120,25 @@ def overlap_edges(prs: DataFrame, nonreciprocal: bool = False, bin_width: int =
     return p.join(q, (C("p_name") < C("q_name")) & first[0] & first[1] & _meet(nonreciprocal)).select(C("p_name").alias("u"), C("q_name").alias("v"))
 
 
+_SPOT = ("chr_l", "chr_r", "x", "y", "sx", "sy", "lmin", "lmax")
+
+
+def _spots(prs: DataFrame) -> DataFrame:
+    """Each different trapezoid once, with an ``id`` and the least name of its rows."""
+    spots = prs.groupBy(*_SPOT).agg(F.min("name").alias("least"), *[F.min(k).alias(k) for k in ("s0", "s1", "a0", "a1")])
+    return work.materialize(spots.withColumn("id", F.monotonically_increasing_id()), "spots")
+
+
 def spanning_edges(prs: DataFrame, nonreciprocal: bool = False, bin_width: int = BIN) -> DataFrame:
-    """(u, v): edges that connect the same rows as ``overlap_edges`` does. Rows with equal
-    trapezoids overlap each other and the same others, so they hang under the least of
-    their names and only those names are compared: a pile of n equal rows gives n - 1 edges."""
-    spot = [k for k in _KEPT if k != "name"]
-    firsts = prs.groupBy(*spot).agg(F.min("name").alias("name"))
-    equal = prs.select(*_KEPT).join(firsts.withColumnRenamed("name", "_first"), spot).where("name <> _first")
-    return equal.select(C("_first").alias("u"), C("name").alias("v")).unionByName(overlap_edges(firsts, nonreciprocal, bin_width))
+    """(u, v) by name: few edges that connect the same rows as ``overlap_edges`` does. Rows
+    with equal trapezoids hang under the least of their names, and the links of different
+    trapezoids are linear in their number (``spans``)."""
+    spots = _spots(prs)
+    equal = prs.select("name", *_SPOT).join(spots.select("least", *_SPOT), list(_SPOT)).where("name <> least")
+    links = spanning_links(spots, bin_width, nonreciprocal)
+    for end in "uv":
+        links = links.join(spots.select(C("id").alias(end), C("least").alias("_" + end)), end)
+    return equal.select(C("least").alias("u"), C("name").alias("v")).unionByName(links.select(C("_u").alias("u"), C("_v").alias("v")).distinct())
 
 
 def overlapping(prs: DataFrame, other: DataFrame, nonreciprocal: bool = False, bin_width: int = BIN) -> DataFrame:
@@ -147,12 +160,20 @@ def box_edges(boxes: DataFrame) -> DataFrame:
 
 def members(prs: DataFrame, edges: DataFrame) -> DataFrame:
     """pr* with ``cluster_id``, the least name of the pair's connected component."""
-    roots = connected_components(edges, loops=False).select(C("id").alias("name"), C("root").alias("cluster_id"))
+    roots = connected_components(edges, loops=False, finish=FINISH).select(C("id").alias("name"), C("root").alias("cluster_id"))
     return prs.join(roots, "name", "left").withColumn("cluster_id", F.coalesce("cluster_id", "name"))
 
 
-def cluster_members(prs: DataFrame, nonreciprocal: bool = False) -> DataFrame:
-    return members(prs, spanning_edges(prs, nonreciprocal))
+def cluster_members(prs: DataFrame, nonreciprocal: bool = False, bin_width: int = BIN) -> DataFrame:
+    """pr* with ``cluster_id``, the least name of the connected component of overlaps.
+
+    Components are those of different trapezoids, by number; names come in at the end, with
+    one join of the pairs to their trapezoids."""
+    spots = _spots(prs)
+    roots = connected_components(spanning_links(spots, bin_width, nonreciprocal), loops=False, finish=FINISH)
+    placed = work.materialize(spots.select("id", "least", *_SPOT).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "placed")
+    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("cluster_id")), "root")
+    return prs.join(named.select("cluster_id", *_SPOT), list(_SPOT), "left").select(*prs.columns, F.coalesce("cluster_id", "name").alias("cluster_id"))
 
 
 def no_cluster(prs: DataFrame) -> DataFrame:
@@ -225,9 +246,7 @@ def numbered(clusters: DataFrame) -> DataFrame:
     global, so ranks come from range-sorted partitions' sizes, not from one window."""
     keys = [C("chr_l"), C("chr_r"), C("same").desc(), C("s0"), C("cluster_id")]
     placed = clusters.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id())
-    from strandline.work import materialize
-
-    placed = materialize(placed.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    placed = work.materialize(placed.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
     from pyspark.sql import Window
 

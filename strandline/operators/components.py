@@ -12,6 +12,7 @@ component. Rounds are written to the shared work folder, which cuts lineage.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ from strandline import work
 
 MAX_ROUNDS = 60
 HELD = 1_000_000  # edges that a partition holds before it contracts them
+FINISH = 2_000_000  # for ``finish``: edges that one task may contract
 
 
 def contract(u: pa.Array, v: pa.Array) -> tuple[pa.Array, pa.Array]:
@@ -47,7 +49,7 @@ def contract(u: pa.Array, v: pa.Array) -> tuple[pa.Array, pa.Array]:
     return ids.take(pa.array(leaves)), ids.take(pa.array(root[leaves]))
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stars(batches: Iterator[pa.RecordBatch], held_most: int = HELD) -> Iterator[pa.RecordBatch]:
     """A star for every connected set of the edges seen, in place of those edges."""
     held: list[pa.RecordBatch] = []
 
@@ -58,9 +60,9 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         held.append(b)
-        if sum(k.num_rows for k in held) >= HELD:
+        if sum(k.num_rows for k in held) >= held_most:
             held = [contracted()]
-            if held[0].num_rows > HELD // 2:  # contracting again would not pay
+            if held[0].num_rows > held_most // 2:  # contracting again would not pay
                 yield held.pop()
     if held:
         yield contracted()
@@ -84,20 +86,24 @@ def _all_stars(edges: DataFrame) -> bool:
     from greater to lesser ids, so a root is then the least of its component."""
     twice = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     chained = edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi")
-    return twice.isEmpty() and chained.isEmpty()
+    return twice.select("u").unionByName(chained.select("u")).isEmpty()
 
 
-def connected_components(edges: DataFrame, loops: bool = True) -> DataFrame:
+def connected_components(edges: DataFrame, loops: bool = True, finish: int = 0) -> DataFrame:
     """(id, root) for every vertex of ``edges`` (u, v); root is the least id of its component.
 
     Vertices of any orderable type. Loops and repeated edges are allowed, rows with a
     null end are ignored, and vertices without edges are the caller's to add. ``edges``
-    is read once more for vertices that have only loops, unless ``loops`` is False.
+    is read once more for vertices that have only loops, unless ``loops`` is False. Once
+    fewer than ``finish`` edges are left, one task contracts them instead of more rounds.
     """
     edges = edges.select("u", "v").where(F.col("u").isNotNull() & F.col("v").isNotNull())
     stars = edges.where("u <> v").mapInArrow(_stars, edges.schema)
     now = work.materialize(stars.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     for k in range(MAX_ROUNDS):
+        if finish and now.count() < finish:
+            now = work.materialize(now.coalesce(1).mapInArrow(functools.partial(_stars, held_most=finish), now.schema), "stars")
+            break
         if _all_stars(now):
             break
         now = work.materialize(_small_star(_large_star(now)), f"stars-{k}")

@@ -76,4 +76,7 @@ def duck(name: str) -> str:
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql, table = TABLES[name]
-    return spark.sql(sql.replace("DIV", "div"), **{table: spark.read.parquet(f"{sf_dir}/{table}.parquet")})
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    if len(rows.inputFiles()) == 1:  # one small file is one task: the rows are dealt over all cores first
+        rows = rows.repartition(spark.sparkContext.defaultParallelism)
+    return spark.sql(sql.replace("DIV", "div"), **{table: rows})
