@@ -315,9 +315,55 @@ def read_all_combinations(spark, sf):
     return preprocess.pair_all(r.where("ord % 2 = 0"), r.where("ord % 2 = 1")).select("fragment_id", "a_ord", "b_ord", C("mapping_id").cast("long").alias("mapping_id"))
 
 
-@query(sql(["reads"], "SELECT name, flag, chr, pos, mapq, cigar FROM reads"))
+_ALIGNMENTS = "SELECT name, flag, CAST(chr AS VARCHAR) AS chr, pos, mapq, cigar, '=' AS mate_chr, pos + 100 AS mate_pos, 150 - ord % 300 AS tlen, substr(repeat('ACGTN', 12), CAST(1 + ord % 5 AS INTEGER), CAST(50 - ord % 3 AS INTEGER)) AS seq, repeat('I', CAST(50 - ord % 3 AS INTEGER)) AS qual, library AS read_group, CASE WHEN (flag & 16) <> 0 THEN '-' ELSE '+' END AS strand, 50 - ord % 3 AS read_len FROM reads"
+_REFERENCES = [(str(k), 250_000_000) for k in range(1, 6)]
+
+
+def _alignments(spark, sf) -> DataFrame:
+    r = fixtures.load(spark, sf, "reads")
+    n = (50 - C("ord") % 3).cast("int")
+    return r.select(
+        "name", C("flag").cast("int").alias("flag"), C("chr").cast("string").alias("chr"), C("pos").cast("int").alias("pos"), C("mapq").cast("int").alias("mapq"), "cigar", F.lit("=").alias("mate_chr"), (C("pos") + 100).cast("int").alias("mate_pos"),
+        (150 - C("ord") % 300).cast("int").alias("tlen"), F.lit("ACGTN" * 12).substr((1 + C("ord") % 5).cast("int"), n).alias("seq"), F.lit("I" * 60).substr(F.lit(1), n).alias("qual"), C("library").alias("read_group"),
+    )
+
+
+def _written_bam(spark, sf) -> str:
+    path = work.new_path(spark, "alignments")
+    text.write_bam(_alignments(spark, sf), path, _REFERENCES, [(f"lib{k}", f"lib{k}") for k in range(3)])
+    return path
+
+
+@query(sql(["reads"], f"SELECT *, CAST(2 AS BIGINT) AS n FROM ({_ALIGNMENTS})"))
+def reads_sam_and_bam(spark, sf):
+    """Alignments written as text and as binary files, both read again: equal rows, each twice."""
+    rows, lines = _alignments(spark, sf), work.new_path(spark, "sam")
+    rows.select(F.concat(F.concat_ws("\t", *[C(c).cast("string") for c in text.SAM]), F.lit("\tRG:Z:"), C("read_group")).alias("value")).write.text(lines)
+    sam, binary = text.read_sam(spark, lines)[0], text.read_bam(spark, _written_bam(spark, sf), split_size=1 << 17)[0]
+    both = sam.unionByName(binary)
+    return both.groupBy(*both.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(sql(["reads"], f"SELECT name, flag, chr, pos, mapq, cigar, mate_chr, mate_pos, tlen FROM ({_ALIGNMENTS})"))
 def reads_table(spark, sf):
-    return fixtures.load(spark, sf, "reads").select("name", "flag", "chr", "pos", "mapq", "cigar")
+    return text.sam_to_table(text.read_bam(spark, _written_bam(spark, sf))[0])
+
+
+@query(sql(["reads"], f"SELECT name, side, '@' || name || chr(10) || seq || chr(10) || '+' || chr(10) || qual AS value, reverse(translate(seq, 'ACGT', 'TGCA')) AS turned FROM (SELECT *, CASE WHEN (flag & 64) <> 0 THEN 1 ELSE 2 END AS side FROM ({_ALIGNMENTS}))"))
+def reads_fastq(spark, sf):
+    reads = _alignments(spark, sf)
+    sides = [t.withColumn("side", F.lit(k)) for k, t in enumerate(text.sam_to_fastq(reads), 1)]
+    line = F.split("value", "\n")
+    return sides[0].unionByName(sides[1]).select(F.substring(line[0], 2, 1000).alias("name"), "side", "value", text.reverse_complement(line[1]).alias("turned"))
+
+
+@query(sql(["mates", "reads"], f"SELECT a.*, route FROM ({_ALIGNMENTS}) a JOIN (SELECT name, route FROM mates WHERE route <> 'pair') USING (name)"))
+def reads_routed(spark, sf):
+    """Alignments of low-quality and of split pairs, written as binary files and read again."""
+    path = work.new_path(spark, "routed")
+    text.write_routed_alignments(_alignments(spark, sf), work.materialize(_paired(spark, sf), "paired"), path, _REFERENCES)
+    parts = [text.read_bam(spark, f"{path}/{r}")[0].withColumn("route", F.lit(r)) for r in ("low", "split")]
+    return parts[0].unionByName(parts[1])
 
 
 # --- depth -----------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import geometry as g
+from strandline.sources import bam
 
 C = F.col
 SAM = ("name", "flag", "chr", "pos", "mapq", "cigar", "mate_chr", "mate_pos", "tlen", "seq", "qual")
@@ -28,12 +29,10 @@ def read_sam(spark: SparkSession, path, stringency: str = "silent") -> tuple[Dat
 
     silent and lenient drop records with fewer than 11 fields or no number where one has
     to be; strict fails the job that reads them. read_groups: id, library, platform.
-    references: name, length. Binary BAM needs a reader that Spark lacks.
+    references: name, length. ``read_bam`` gives the same of binary alignments.
     """
-    if stringency not in ("silent", "lenient", "strict"):
-        raise ValueError("stringency is silent, lenient or strict")
+    _check_stringency(stringency)
     text = spark.read.text(path)
-    header = text.where(C("value").startswith("@"))
     f = F.split("value", "\t")
     body = text.where(~C("value").startswith("@") & (F.length("value") > 0)).withColumn("f", f)
     number = {"flag", "pos", "mapq", "mate_pos", "tlen"}
@@ -44,14 +43,44 @@ def read_sam(spark: SparkSession, path, stringency: str = "silent") -> tuple[Dat
         good = F.when(good, True).otherwise(F.raise_error(F.concat(F.lit("bad alignment record: "), C("value"))).cast("boolean"))
     body = body.where(F.coalesce(good, F.lit(False))) if stringency != "strict" else body.where(good)
     reads = body.select(*cols, F.substring(group, 6, 1000).alias("read_group"))
-    reads = reads.withColumn("strand", F.when(C("flag").bitwiseAND(F.lit(16)) != 0, "-").otherwise("+")).withColumn("read_len", F.length("seq"))
+    return _with_strand(reads), *_header_tables(text)
+
+
+def read_bam(spark: SparkSession, path: str, stringency: str = "silent", split_size: int = 64 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``read_sam``, from a binary file or a folder of such, in parts of ``split_size``
+    bytes. A file that ends early gives what it holds, and a warning; strict is an error."""
+    _check_stringency(stringency)
+    lines = bam.read_header(path).splitlines()  # one header, as large as the list of references
+    reads = bam.load(spark, path, stringency, split_size)
+    return _with_strand(reads), *_header_tables(spark.createDataFrame([(v,) for v in lines], "value string"))
+
+
+def write_bam(reads: DataFrame, path: str, references: list[tuple[str, int]], read_groups: list[tuple[str, str]] = ()) -> None:
+    """Alignments (columns as of ``read_sam``) as a folder of binary files, one per task.
+    References are (name, length), read groups (id, library)."""
+    text = "".join(f"@SQ\tSN:{n}\tLN:{length}\n" for n, length in references) + "".join(f"@RG\tID:{i}\tLB:{lib}\n" for i, lib in read_groups)
+    bam.save(reads, path, "@HD\tVN:1.6\n" + text)
+
+
+def _check_stringency(stringency: str) -> None:
+    if stringency not in ("silent", "lenient", "strict"):
+        raise ValueError("stringency is silent, lenient or strict")
+
+
+def _with_strand(reads: DataFrame) -> DataFrame:
+    return reads.withColumn("strand", F.when(C("flag").bitwiseAND(F.lit(16)) != 0, "-").otherwise("+")).withColumn("read_len", F.length("seq"))
+
+
+def _header_tables(text: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(read_groups, references) of header lines."""
+    header = text.where(C("value").startswith("@"))
 
     def tag(t: str) -> Column:
         return F.nullif(F.regexp_extract("value", rf"\t{t}:([^\t]*)", 1), F.lit(""))
 
     groups = header.where(C("value").startswith("@RG")).select(tag("ID").alias("id"), F.coalesce(tag("LB"), tag("ID")).alias("library"), F.lower(tag("PL")).alias("platform"))
     refs = header.where(C("value").startswith("@SQ")).select(tag("SN").alias("name"), tag("LN").cast("long").alias("length"))
-    return reads, groups, refs
+    return groups, refs
 
 
 def genome_length(references: DataFrame, default: int = 3_000_000_000) -> int:
@@ -249,6 +278,14 @@ def write_low_quality(pairs: DataFrame, path: str) -> None:
     pairs.where(C("route") != "pair").write.mode("overwrite").partitionBy("route").parquet(path)
 
 
+def write_routed_alignments(reads: DataFrame, pairs: DataFrame, path: str, references: list[tuple[str, int]], read_groups: list[tuple[str, str]] = ()) -> None:
+    """The alignments of pairs that are no high-quality ones, as binary files: one folder per
+    route, low and split. Both records of a pair go where the pair goes."""
+    for route in ("low", "split"):
+        own = reads.join(pairs.where(C("route") == route).select("name").distinct(), "name", "left_semi")
+        write_bam(own, f"{path}/{route}", references, read_groups)
+
+
 def library_info(bounds: DataFrame) -> DataFrame:
     """'.info' lines: library, lmin, lmax, mean, std."""
     return bounds.select(F.concat_ws("\t", *[C(c).cast("string") for c in ("library", "lmin", "lmax", "mean", "std")]).alias("value"))
