@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import store
 
-PROJECTIONS, SURE = 24, 0.85
+PROJECTIONS, SURE = 24, 0.97
 LEAF, BLOCK_BYTES, SAMPLE = 64, 8 << 20, 16_384
 CELLS, CELLS_OF_CELL = 1024, 64
 QUERIES = 16_384  # of a dealt block

@@ -158,7 +158,7 @@ def test_neighbours_recall_and_edges(spark):
     rows += [(3000, None), (3020, [0.0] * 16), (3040, [float("nan")] * 16), (3060, [float("inf")] + [0.0] * 15), (3080, [None] * 16), (None, [1.0] * 16)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got: dict = {}
-    for x in neighbours.search(spark, df, F.col("vec_id") % 20 == 0, block=128, sure=0.98).orderBy("query_id", "rank").collect():
+    for x in neighbours.search(spark, df, F.col("vec_id") % 20 == 0, block=128).orderBy("query_id", "rank").collect():
         got.setdefault(x["query_id"], []).append((x["vec_id"], x["score"]))
     want = brute_neighbours(rows, 20)
     assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
@@ -265,3 +265,30 @@ def test_pipeline(spark):
     assert used <= least + 1 and any("[EMAIL]" in t or "[PHONE]" in t or "[IP]" in t for t in texts)
     key = lambda rows: sorted((r["doc_id"], r["piece"], r["ids_crc32"]) for r in rows)
     assert key(p.run(spark, SF).collect()) == key(packed)
+
+
+def shaped_vectors(shape, n=20_000, dim=32, seed=4):
+    r = np.random.default_rng(seed)
+    if shape == "random":
+        return r.standard_normal((n, dim))
+    if shape == "clusters":
+        return r.standard_normal((50, dim))[r.integers(0, 50, n)] + 0.1 * r.standard_normal((n, dim))
+    rank, noise = (6, 0.0) if shape == "rank 6" else (8, 0.05)
+    return r.standard_normal((n, rank)) @ r.standard_normal((rank, dim)) + noise * r.standard_normal((n, dim))
+
+
+@pytest.mark.parametrize("shape", ["random", "clusters", "rank 6", "rank 8"])
+def test_neighbours_recall_by_shape(spark, shape):
+    """The query's own defaults, against brute force, over all and for the worst twentieth of queries."""
+    x = shaped_vectors(shape)
+    df = spark.createDataFrame(((k, v.tolist()) for k, v in enumerate(x)), "vec_id long, embedding array<double>").repartition(8)
+    found: dict = {}
+    for r in neighbours.search(spark, df, F.col("vec_id") % 100 == 0).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    shares = []
+    for q in range(0, len(x), 100):
+        s = x @ x[q]
+        s[q] = -np.inf
+        shares.append(len(found[q] & set(np.argpartition(-s, 20)[:20].tolist())) / 20)
+    print(f"recall {shape}: {np.mean(shares):.4f}, worst twentieth {np.percentile(shares, 5):.3f}")
+    assert np.mean(shares) >= 0.95 and np.percentile(shares, 5) >= 0.9
