@@ -6,7 +6,9 @@ lmax; other columns pass through. ``pr*`` tables are those after ``trapezoids``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strandline import work
@@ -72,6 +74,18 @@ def reject_report(pr: DataFrame) -> DataFrame:
     return read.unionByName(unread).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def valid_pairs_counted(pr: DataFrame) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """``valid_pairs``, and a function that gives the rows of ``reject_report`` once a job
+    has read the pairs to their end: the counts come from that same job."""
+    every, told = Observation(), Observation()
+    good = g.strand_sign(C("l_or")).isNotNull() & g.strand_sign(C("r_or")).isNotNull() & C("chr_l").isNotNull() & C("chr_r").isNotNull()
+    counted = validate_pr(pr.observe(every, F.count_if(~F.coalesce(good, F.lit(False))).alias("unreadable")))
+    reasons = ("invalid_lmin", "overlapping", "concordant")
+    counts = [F.count_if(C("reject_reason") == r).alias(r) for r in reasons]
+    counted = counted.observe(told, F.count_if(C("reject_reason").isNull()).alias("ok"), *counts)
+    return counted.where(C("reject_reason").isNull()).drop("reject_reason"), lambda: {k: n for k, n in {**every.get, **told.get}.items() if n}
+
+
 def density_cap(prs: DataFrame, max_per_window: int, width: int | None = None) -> DataFrame:
     """Drops the windows of ``width`` (1.5 times the greatest lmax if None) in |x| that
     hold more than ``max_per_window`` pairs of a chromosome pair: counts, then a join, so

@@ -138,9 +138,9 @@ def overlap_edges(spark, sf):
     return clusters.overlap_edges(_prs(spark, sf))
 
 
-@query(sql(["edges_nr"], "SELECT CAST(count(*) AS BIGINT) AS n FROM edges_nr"))
+@query(sql(["edges_nr"], "SELECT u, v FROM edges_nr"))
 def overlap_edges_nonreciprocal(spark, sf):
-    return clusters.overlap_edges(_prs(spark, sf), True).agg(F.count(F.lit(1)).alias("n"))
+    return clusters.overlap_edges(_prs(spark, sf), True)
 
 
 @query(sql(["members"], "SELECT name, cluster_id FROM members"))
@@ -214,9 +214,9 @@ def sv_layout_converted(spark, sf):
     return text.convert_layout(text.read_clusters(spark, path), "standard")
 
 
-@query(sql(["clusters"], "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT cluster_id) AS BIGINT) AS labels FROM clusters"))
+@query(sql(["clusters"], "SELECT cluster_id, 'c' || row_number() OVER (ORDER BY chr_l, chr_r, same DESC, s0, cluster_id) AS label FROM clusters"))
 def sv_labels(spark, sf):
-    return clusters.numbered(_clusters(spark, sf)).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("label").alias("labels"))
+    return clusters.numbered(_clusters(spark, sf)).select("cluster_id", "label")
 
 
 # --- filters ---------------------------------------------------------------------------

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, fields
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,13 +99,17 @@ def check_platforms(read_groups: DataFrame) -> str | None:
 
 def read_pr(spark: SparkSession, path, lmin: int = 100, lmax: int = 400) -> DataFrame:
     """Pairs of nine columns. Lines of other widths and rows without numbers are dropped."""
+    out = _pr_columns(_rows(_lines(spark, path), 9))
+    return out.withColumns({"lmin": F.lit(lmin).cast("long"), "lmax": F.lit(lmax).cast("long")})
+
+
+def _pr_columns(rows: DataFrame, *others: str) -> DataFrame:
     f = C("f")
-    out = _rows(_lines(spark, path), 9).select(
+    out = rows.select(
         f[0].alias("name"), g.norm_chr(f[1]).alias("chr_l"), f[2].try_cast("int").alias("l_start"), f[3].try_cast("int").alias("l_end"), f[4].alias("l_or"),
-        g.norm_chr(f[5]).alias("chr_r"), f[6].try_cast("int").alias("r_start"), f[7].try_cast("int").alias("r_end"), f[8].alias("r_or"),
+        g.norm_chr(f[5]).alias("chr_r"), f[6].try_cast("int").alias("r_start"), f[7].try_cast("int").alias("r_end"), f[8].alias("r_or"), *others,
     )
-    out = out.dropna(subset=["l_start", "l_end", "r_start", "r_end"])
-    return out.withColumns({"lmin": F.lit(lmin).cast("long"), "lmax": F.lit(lmax).cast("long")})
+    return out.dropna(subset=["l_start", "l_end", "r_start", "r_end"])
 
 
 @dataclass(frozen=True)
@@ -127,16 +133,37 @@ def parse_manifest(lines, lmin: int = 100, lmax: int = 400) -> list[ManifestRow]
     return out
 
 
+def _place(path: str) -> str:
+    """A path as Spark names files, without store: scheme and authority go, odd characters are escaped."""
+    return quote(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path), safe="/!$&'()*+,;=:@-._~")
+
+
 def read_manifest(spark: SparkSession, path: str, lmin: int = 100, lmax: int = 400) -> DataFrame:
-    """All pairs of a manifest's PR and ESP files, with their lmin, lmax and ``source``."""
+    """All pairs of a manifest's PR and ESP files, with their lmin, lmax and ``source``: one
+    scan of all files, joined to the manifest by the file that a line is of."""
     rows = parse_manifest([r[0] for r in spark.read.text(path).collect()], lmin, lmax)  # one line per file
-    parts = [read_pr(spark, r.path, r.lmin, r.lmax).withColumn("source", F.lit(r.path)) for r in rows if r.kind != "CGH"]
-    if not parts:
+    pairs = [r for r in rows if r.kind != "CGH"]
+    if not pairs:
         raise ValueError("the manifest has no pair files")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    paths = sorted({r.path for r in pairs})
+    if len({_place(p) for p in paths}) < len(paths):
+        raise ValueError("files of the manifest differ by their store alone")
+    table = spark.createDataFrame([(_place(r.path), r.path, r.lmin, r.lmax) for r in pairs], "_place string, source string, _lmin long, _lmax long")
+    place = F.regexp_replace("_metadata.file_path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    lines = _listed(spark, paths).select("value", place.alias("_place")).withColumn("f", F.split(F.trim("value"), r"\s+"))
+    out = _pr_columns(_rows(lines, 9), "_place").join(F.broadcast(table), "_place")  # a row per line of the manifest
+    return out.select(*[c for c in out.columns if c[0] != "_" and c != "source"], C("_lmin").alias("lmin"), C("_lmax").alias("lmax"), "source")
+
+
+def _listed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Text of all paths, listed by a few tasks a core and not by one a path."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(int(before), 4 * spark.sparkContext.defaultParallelism))
+    try:
+        return spark.read.text(paths)
+    finally:
+        spark.conf.set(key, before)
 
 
 def read_intervals(spark: SparkSession, path, lmax: int = 400, is_inversion: bool = False) -> DataFrame:
