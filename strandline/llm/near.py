@@ -12,7 +12,7 @@ shingles) of it are one task's work, and a larger one is cut into blocks by a ha
 text's id. Block pairs are dealt over the cluster, and each sends on only which texts have
 surviving partners, then link counts and one star of links per linked set. So a group of n
 different near copies makes n rows a bucket up to ``BLOCK``, and n * n / ``BLOCK`` beyond:
-every pair has to meet somewhere, and tasks are bounded. The README has figures.
+every pair has to meet somewhere, and tasks are bounded.
 Buckets with the same members in several bands are kept once, and a pair is handled
 in the first band that it shares, so no link is counted twice. Components come from
 an iterative Spark job. Nothing about documents is collected or broadcast.
