@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass, fields
 from urllib.parse import quote
@@ -133,25 +134,42 @@ def parse_manifest(lines, lmin: int = 100, lmax: int = 400) -> list[ManifestRow]
     return out
 
 
+_STORE = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?")
+
+
 def _place(path: str) -> str:
     """A path as Spark names files, without store: scheme and authority go, odd characters are escaped."""
-    return quote(re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path), safe="/!$&'()*+,;=:@-._~")
+    return quote(_STORE.sub("", path), safe="/!$&'()*+,;=:@-._~")
+
+
+def _ancestors(file: str) -> list[str]:
+    """A path and the folders that it is in."""
+    parts = file.split("/")
+    return ["/".join(parts[:k]) for k in range(len(parts), 1, -1)]
 
 
 def read_manifest(spark: SparkSession, path: str, lmin: int = 100, lmax: int = 400) -> DataFrame:
-    """All pairs of a manifest's PR and ESP files, with their lmin, lmax and ``source``: one
-    scan of all files, joined to the manifest by the file that a line is of."""
+    """All pairs of a manifest's PR and ESP files or folders, with their lmin, lmax and
+    ``source``: one scan of all files, joined to the manifest by the file that a line is of.
+    Patterns, and paths that hold each other, are scans of their own."""
     rows = parse_manifest([r[0] for r in spark.read.text(path).collect()], lmin, lmax)  # one line per file
     pairs = [r for r in rows if r.kind != "CGH"]
     if not pairs:
         raise ValueError("the manifest has no pair files")
     paths = sorted({r.path for r in pairs})
-    if len({_place(p) for p in paths}) < len(paths):
-        raise ValueError("files of the manifest differ by their store alone")
-    table = spark.createDataFrame([(_place(r.path), r.path, r.lmin, r.lmax) for r in pairs], "_place string, source string, _lmin long, _lmax long")
-    place = F.regexp_replace("_metadata.file_path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
-    lines = _listed(spark, paths).select("value", place.alias("_place")).withColumn("f", F.split(F.trim("value"), r"\s+"))
-    out = _pr_columns(_rows(lines, 9), "_place").join(F.broadcast(table), "_place")  # a row per line of the manifest
+    by_place = {_place(p).rstrip("/"): p for p in paths}
+    lines = _listed(spark, paths)
+    owners = {f: [by_place[a] for a in _ancestors(f) if a in by_place] for f in {_STORE.sub("", f) for f in lines.inputFiles()}}
+    if len(by_place) < len(paths) or any(len(o) != 1 for o in owners.values()):
+        parts = [read_pr(spark, r.path, r.lmin, r.lmax).withColumn("source", F.lit(r.path)) for r in pairs]
+        return functools.reduce(DataFrame.unionByName, parts)
+    listed: dict[str, list[ManifestRow]] = {}
+    for r in pairs:
+        listed.setdefault(r.path, []).append(r)
+    bounds = [(f, r.path, r.lmin, r.lmax) for f, (p,) in owners.items() for r in listed[p]]
+    table = spark.createDataFrame(bounds, "_place string, source string, _lmin long, _lmax long")
+    lines = lines.select("value", F.regexp_replace("_metadata.file_path", _STORE.pattern, "").alias("_place")).withColumn("f", F.split(F.trim("value"), r"\s+"))
+    out = _pr_columns(_rows(lines, 9), "_place").join(F.broadcast(table), "_place")  # a row per file, as many as the driver listed
     return out.select(*[c for c in out.columns if c[0] != "_" and c != "source"], C("_lmin").alias("lmin"), C("_lmax").alias("lmax"), "source")
 
 
