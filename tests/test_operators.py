@@ -169,13 +169,14 @@ def test_queries_do_the_whole_assignment(spark, monkeypatch):
     from dataclasses import replace
 
     assert replace(catalog.MCMC, lam=assign.McmcParams.lam) == assign.McmcParams()
-    links = spark.createDataFrame([(f"f{k}", c) for k in range(300) for c in ("a", "b")], "fragment_id string, cluster_id string")
-    comp = spark.createDataFrame([("a", "a"), ("b", "a")], "cluster_id string, component_id string")
-    scored = spark.createDataFrame([("a", -900.0, -3000.0, 5.0), ("b", -900.0, -3000.0, 5.0)], "cluster_id string, log_p_variant double, log_p_novariant double, llr double")
+    # a cycle of three clusters, which no sum along a tree decides
+    links = spark.createDataFrame([(f"f{k}", c) for k in range(300) for c in ("ab", "bc", "ca")[k % 3]], "fragment_id string, cluster_id string")
+    comp = spark.createDataFrame([(c, "a") for c in "abc"], "cluster_id string, component_id string")
+    scored = spark.createDataFrame([(c, -900.0, -3000.0, 5.0) for c in "abc"], "cluster_id string, log_p_variant double, log_p_novariant double, llr double")
     few = assign.McmcParams(burn_in=0, samples=100, exact_states=0)
-    # 300 steps at 300 fragments: times in a state are multiples of 1 / 300
+    # 300 steps at 300 fragments, 100 of a kind: times in a state are multiples of 1 / 300, their means of 1 / 30000
     got = [x["probability"] for x in assign.mcmc(links, comp, scored, few)[0].collect()]
-    assert all(abs(q * 300 - round(q * 300)) < 1e-6 for q in got) and any(abs(q * 100 - round(q * 100)) > 1e-6 for q in got)
+    assert all(abs(q * 30_000 - round(q * 30_000)) < 1e-6 for q in got) and any(abs(q * 10_000 - round(q * 10_000)) > 1e-6 for q in got)
 
 
 @pytest.mark.parametrize("shifted", [False, True])
