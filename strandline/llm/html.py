@@ -19,7 +19,9 @@ Templates are counted over all elements. Elements that by name, role or class ar
 headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments go
 as well, whether they recur or not: a page that is the only one of its host has them, too.
 A class says so by all its words (cookie-notice, site-header), not by its use of one
-(has-sidebar, article-header), and not for an element that holds the article. Of the rest
+(has-sidebar, article-header, cookie-recipe). Neither a class nor a form speaks for an
+element that holds the article or, on a page without article and main elements, ``MOST``
+of the text outside of links and of what goes by its element. Of the rest
 the article (or main) elements are the text, or the whole body if there are none.
 
 Scale. Subtree counts are partial sums per (host, hash), so a host with a third of all
@@ -64,6 +66,8 @@ COMMENTS = frozenset("comment comments commentlist disqus respond replies".split
 STATES = frozenset("has with without no not is hide show enabled disabled open closed after before layout".split())
 HEADS = frozenset("header masthead banner".split())
 ARTICLE_WORDS = frozenset("article entry post story content title headline text news blog".split())
+PLAIN = ARTICLE_WORDS | frozenset("site page pages main global top bottom left right middle center upper lower primary secondary mobile desktop small big large inner outer fixed sticky floating area areas bar bars box boxes block blocks panel panels pane section sections container wrap wrapper group region zone slot unit column col row list lists item items link links button buttons form thread reader readers user users posts articles stories message toast js ui my the is".split())
+FORMS, MOST = frozenset("form fieldset".split()), 0.75
 HOLDS_ARTICLE = frozenset("related recommended promo promotion sponsor sponsored".split()) | COMMENTS
 HEADINGS = frozenset("h1 h2".split())
 CELLS = frozenset("td th tr dt dd".split())
@@ -93,7 +97,7 @@ def _by_class(token: str) -> str:
     it holds an article) or "comment"."""
     words = _NAME.findall(token)
     found = NAMES.intersection(words)
-    if not found or not STATES.isdisjoint(words):
+    if not found or not STATES.isdisjoint(words) or any(w not in NAMES and w not in PLAIN and not w.isdigit() for w in words):
         return ""
     if found <= HEADS and not ARTICLE_WORDS.isdisjoint(words):
         return ""
@@ -220,7 +224,13 @@ def _walk(root: Node) -> list[Node]:
 def rule_out(root: Node, rules: bool = True) -> set[int]:
     """``id`` of the elements that the rules delete."""
     holds: dict[int, tuple[bool, bool]] = {}  # an article, a headline
+    prose: dict[int, int] = {}  # characters outside of links and of what goes by its element
     for node in _walk(root):
+        own = 0
+        for k in node.kids:
+            own += len("".join(k.split())) if type(k) is str else prose[id(k)]
+        wraps = node.gone in ("class", "around") or node.tag in FORMS and node.gone == "tag"
+        prose[id(node)] = 0 if node.tag == "a" or node.gone and not wraps else own
         article, head = node.tag in ("article", "main") and node.gone != "comment", node.tag in HEADINGS
         for k in node.kids:
             if type(k) is Node:
@@ -231,7 +241,9 @@ def rule_out(root: Node, rules: bool = True) -> set[int]:
     while todo:
         node, inside = todo.pop()
         article, head = holds[id(node)]
-        stays = node.gone == "class" and article or node.tag == "header" and inside and head and node.gone == "tag"
+        form = node.tag in FORMS and node.gone == "tag"
+        most = not holds[id(root)][0] and prose[id(node)] > 0 and prose[id(node)] >= MOST * prose[id(root)]
+        stays = (node.gone == "class" or form) and article or (node.gone in ("class", "around") or form) and most or node.tag == "header" and inside and head and node.gone == "tag"
         if node.gone and not stays and (rules or node.tag in RAW or node.tag == "head"):
             out.add(id(node))
         inside = inside or node.tag in ("article", "main")

@@ -463,6 +463,22 @@ def test_html_rules_by_whole_class_names():
     assert text('<p>Text</p><div class="site-header">S</div><div class="newsletter-signup">N</div><div id="cookie_banner">C</div>') == "Text"
 
 
+def test_html_words_and_forms_around_the_text():
+    """A word of a class that also means something else deletes nothing, and neither a
+    classed wrapper nor a form takes the text of the page with it."""
+    body = "<p>The whole text of the page, of several words.</p>"
+    want = "The whole text of the page, of several words."
+    for wrap in ('<form runat="server"><article>%s</article></form>', '<form runat="server"><div>%s</div></form>', '<div class="cookie-recipe">%s</div>', '<div class="recommended-reading">%s</div>', '<div id="widget-1">%s</div>', '<div class="related">%s</div>', '<div class="banner"><form>%s</form></div>'):
+        page = "<html><body><nav><p>Long lists of places to go to, all over this site and others</p></nav>" + wrap % body + '<div class="cookie-notice">Cookies!</div></body></html>'
+        assert html.main_text(html.parse(page)) == want, wrap
+    inside = '<article><p class="share-price">One</p><section class="header-study">Two</section><div class="share-buttons">x</div><div class="article-comments">y</div><div class="site-header">z</div></article>'
+    assert html.main_text(html.parse(inside)) == "One Two"
+    # beside other text, and with comments however long, they go
+    assert html.main_text(html.parse(f'{body}<form>Your name and street</form><div class="widget">w</div><div class="comments">{body * 9}</div>')) == want
+    assert html.main_text(html.parse(f'<article>{body}</article><div class="related">{body * 9}</div><form>{body * 9}</form>')) == want
+    assert html.main_text(html.parse("<form></form>")) == ""
+
+
 def test_html_parsing_takes_linear_time():
     import time
 
