@@ -173,17 +173,18 @@ def score(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str] |
     store.small_batches(spark)
     held = spark.sparkContext.broadcast(model)
     keep = docs.columns if keep is None else keep
-    text = store.free_name(docs, "scored_text")
-    given = docs.select(*[store.col(c) for c in keep], F.col("text").cast("string").alias(text))
-    schema = given.select(*[store.col(c) for c in keep], F.lit(0.0).alias(out[0]), F.lit(0).alias(out[1])).schema
+    plain = [f"c{k}" for k in range(len(keep))]  # whatever dots the names hold
+    given = docs.select(*[store.col(c).alias(p) for c, p in zip(keep, plain, strict=True)], F.col("text").cast("string").alias("text"))
+    made = ("score", "predicted")
+    schema = given.select(*plain, F.lit(0.0).alias(made[0]), F.lit(0).alias(made[1])).schema
 
     def run(batches):
         m = held.value
         for b in batches:
-            s = [m.score(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(len(keep))]
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(s, pa.float64()), pa.array([int(v >= THRESHOLD) for v in s], pa.int32())], names=[*keep, *out])
+            s = [m.score(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in b.column(len(plain))]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(plain)], pa.array(s, pa.float64()), pa.array([int(v >= THRESHOLD) for v in s], pa.int32())], names=[*plain, *made])
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(run, schema).toDF(*keep, *out)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -201,4 +202,4 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFr
     """``docs`` without the documents that the classifier rejects."""
     names = (store.free_name(docs, "score"), store.free_name(docs, "predicted"))
     scored = score(spark, docs, train(spark, docs, labels), out=names)
-    return scored.where(F.col(names[1]) == 1).select(*[store.col(c) for c in docs.columns])
+    return scored.where(store.col(names[1]) == 1).select(*[store.col(c) for c in docs.columns])
