@@ -299,14 +299,14 @@ _PROBE_ALL = f"{_PROBE}, tracks array<struct<{_PROBE.replace(' ', ': ').replace(
 
 
 def mux_column(docs: DataFrame, text: str = "text", out: str = "media") -> DataFrame:
-    """``docs`` with a binary column ``out``: the text's bytes in a container."""
+    """``docs`` with a binary column ``out``: the text's bytes, UTF-8 or not, in a container."""
     out = store.free_name(docs, out)
 
     @F.pandas_udf("binary")
     def udf(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: mux(pad(x.encode("utf-8") if x is not None else b"")))
+        return s.map(lambda x: mux(pad(x or b"")))
 
-    return docs.withColumn(out, udf(store.col(text)))
+    return docs.withColumn(out, udf(store.col(text).cast("string").cast("binary")))
 
 
 def probe_column(df: DataFrame, media: str = "media", out: str = "probe") -> DataFrame:
