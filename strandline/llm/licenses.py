@@ -22,6 +22,7 @@ alignment score stays, ties to the earlier start, then the lesser template name.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -35,6 +36,7 @@ from strandline.llm import store
 GRAM, WINDOW, BAND, COVERAGE = 3, 3, 8, 0.8
 _WORD = re.compile(r"[^\W_]+")
 MATCH, MISS, GAP = 2, -2, -2
+TOGETHER = 4096  # alignments in step
 
 #: Public license notices and texts.
 TEMPLATES = {
@@ -131,36 +133,62 @@ def band_of(template: np.ndarray) -> int:
     return max(1, min(BAND, len(template) // 4))
 
 
-def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int, int]:
-    """Best local alignment within ``band`` of ``text place - template place = diagonal``:
-    score, matched words, first and last text place (end exclusive)."""
+def align_all(template: np.ndarray, text: np.ndarray, diagonals: np.ndarray, band: int = BAND) -> np.ndarray:
+    """For each diagonal the best local alignment within ``band`` of ``text place - template
+    place = diagonal``: score, matched words, first and last text place (end exclusive).
+
+    All diagonals are aligned in step, a row of the template at a time. Of equal scores a
+    match or mismatch is taken before a gap in the text, and that before one in the template;
+    of equal ends the first.
+    """
     width = 2 * band + 1
-    prev = [(0, 0, -1)] * (width + 1)  # score, matches, start
-    best = (0, 0, 0, 0)
+    k = np.arange(width)
+    score, matches, start = (np.full((len(diagonals), width + 1), x, np.int64) for x in (0, 0, -1))
+    best = np.zeros((len(diagonals), 4), np.int64)
     for i in range(len(template)):
-        row = [(0, 0, -1)] * (width + 1)
-        left = (0, 0, -1)
-        for k in range(width):
-            j = i + diagonal + k - band
-            if j < 0 or j >= len(text):
-                left = (0, 0, -1)
-                continue
-            same = template[i] == text[j]
-            d = prev[k]
-            cell = (d[0] + MATCH, d[1] + 1, d[2] if d[0] else j) if same else (d[0] + MISS, d[1], d[2])
-            up = prev[k + 1]
-            for other in (up, left):
-                if other[0] + GAP > cell[0]:
-                    cell = (other[0] + GAP, other[1], other[2])
-            if cell[0] <= 0:
-                cell = (0, 0, -1)
-            elif cell[0] > best[0]:
-                best = (cell[0], cell[1], cell[2], j + 1)
-            row[k] = left = cell
-        prev = row
+        j = i + diagonals[:, None] + k - band
+        inside = (j >= 0) & (j < len(text))
+        same = inside & (text[np.where(inside, j, 0)] == template[i])
+        now = score[:, :-1] + np.where(same, MATCH, MISS)
+        matched = matches[:, :-1] + same
+        first = np.where(same & (score[:, :-1] == 0), j, start[:, :-1])
+        up = score[:, 1:] + GAP
+        gap = up > now
+        now, matched, first = np.where(gap, up, now), np.where(gap, matches[:, 1:], matched), np.where(gap, start[:, 1:], first)
+        none = ~inside | (now <= 0)
+        now[none], matched[none], first[none] = 0, 0, -1
+        # gaps along the row: the best earlier cell less its distance; of equal ones the nearest
+        source = np.maximum.accumulate((now - GAP * k) * width + k, 1) % width
+        now = np.take_along_axis(now, source, 1) + GAP * (k - source)
+        now[~inside] = 0
+        some = now > 0
+        score[:, :-1] = now
+        matches[:, :-1] = np.where(some, np.take_along_axis(matched, source, 1), 0)
+        start[:, :-1] = np.where(some, np.take_along_axis(first, source, 1), -1)
+        end = now.argmax(1)
+        row = np.flatnonzero(now[np.arange(len(now)), end] > best[:, 0])
+        at = end[row]
+        best[row] = np.column_stack([now[row, at], matches[row, at], start[row, at], j[row, at] + 1])
     return best
 
 
+def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int, int]:
+    """``align_all`` along one diagonal."""
+    return tuple(align_all(template, text, np.array([diagonal]), band)[0].tolist())
+
+
+def _apart(rows: list[tuple]) -> list[tuple]:
+    """Rows in order, without those that overlap one before; (_, start, end, ...), sorted by start."""
+    starts: list[int] = []
+    kept: list[tuple] = []
+    for r in rows:
+        k = bisect.bisect_right(starts, r[1])
+        if (k == 0 or kept[k - 1][2] <= r[1]) and (k == len(kept) or r[2] <= kept[k][1]):
+            starts.insert(k, r[1])
+            kept.insert(k, r)
+    return kept
+
+
 def scan(text: str, index: Index, words: Words, coverage: float = COVERAGE) -> list[tuple[str, int, int, int, int, float]]:
     """(template, start, end, matched words, template words, coverage) in text order."""
     marks = [m.span() for m in _WORD.finditer(text)]
@@ -170,7 +198,7 @@ def scan(text: str, index: Index, words: Words, coverage: float = COVERAGE) -> l
     hits = index.hits(grams(h))
     if not len(hits):
         return []
-    candidates = set()
+    candidates: dict[int, list[int]] = {}
     order = np.lexsort((hits[:, 2] - hits[:, 1], hits[:, 0]))
     last = None
     for t, p, q in hits[order].tolist():
@@ -179,23 +207,17 @@ def scan(text: str, index: Index, words: Words, coverage: float = COVERAGE) -> l
         if last and last[0] == t and d - last[1] <= band_of(index.words[t]):
             continue
         last = (t, d)
-        candidates.add((t, d))
+        candidates.setdefault(t, []).append(d)
     rows = []
-    for t, d in candidates:
+    for t, every in candidates.items():
         w = index.words[t]
         band = band_of(w)
-        lo, hi = max(0, d - band), min(len(h), d + len(w) + band)
-        if np.isin(w, h[lo:hi]).sum() < coverage * len(w):
-            continue
-        score, matched, a, b = align(w, h[lo:hi], d - lo, band)
-        if score > 0 and matched >= coverage * len(w):
-            rows.append((matched, lo + a, lo + b, index.names[t], len(w), score))
+        enough = [d for d in every if np.isin(w, h[max(0, d - band) : max(0, d + len(w) + band)]).sum() >= coverage * len(w)]
+        for at in range(0, len(enough), TOGETHER):
+            found = align_all(w, h, np.array(enough[at : at + TOGETHER]), band).tolist()
+            rows += [(matched, a, b, index.names[t], len(w), score) for score, matched, a, b in found if score > 0 and matched >= coverage * len(w)]
     rows.sort(key=lambda r: (-r[5], r[1], r[3]))
-    kept: list[tuple] = []
-    for r in rows:
-        if all(r[2] <= k[1] or r[1] >= k[2] for k in kept):
-            kept.append(r)
-    kept.sort(key=lambda r: r[1])
+    kept = _apart(rows)
     return [(n, marks[a][0], marks[b - 1][1], m, size, m / size) for m, a, b, n, size, _ in kept]
 
 

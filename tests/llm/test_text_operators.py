@@ -4,13 +4,14 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import html, licenses, media, near, packing, pii, quality, rollups, store, tokens
+from strandline.llm import html, licenses, media, mixing, near, packing, pii, quality, rollups, store, tokens
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, size string, tid string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -64,6 +65,11 @@ def test_media_columns_and_damage(spark):
         media.probe(bytes(b))  # never raises
 
 
+def test_media_column_of_bytes_that_are_no_text(spark):
+    df = media.mux_column(invalid(spark, b"\xff\xfe", b"").withColumn("a.b", F.lit(1)))
+    assert [media.samples(bytes(r["media"]))[:2] for r in df.orderBy("doc_id").collect()] == [b"\xff\xfe", b"\0\0"]
+
+
 def test_media_reads_other_layouts():
     """Index after the data, listed sizes, 64-bit offsets, 64-bit box size, two chunks."""
     box = media._box
@@ -255,6 +261,64 @@ def test_license_alignment_against_full_table():
         assert licenses.align(t, x, len(pad))[0] == h.max()
 
 
+def cell_by_cell(template, text, diagonal, band):
+    """The banded local alignment, one cell at a time."""
+    cells, best = {}, (0, 0, 0, 0)
+    for i in range(len(template)):
+        for k in range(2 * band + 1):
+            j = i + diagonal + k - band
+            if not 0 <= j < len(text):
+                continue
+            d = cells.get((i - 1, j - 1), (0, 0, -1))
+            now = (d[0] + 2, d[1] + 1, d[2] if d[0] else j) if template[i] == text[j] else (d[0] - 2, *d[1:])
+            for other in [cells.get((i - 1, j), (0, 0, -1)) if k < 2 * band else (0, 0, -1), cells.get((i, j - 1), (0, 0, -1)) if k else (0, 0, -1)]:
+                if other[0] - 2 > now[0]:
+                    now = (other[0] - 2, *other[1:])
+            cells[i, j] = now if now[0] > 0 else (0, 0, -1)
+            if now[0] > best[0]:
+                best = (*now, j + 1)
+    return best
+
+
+def test_license_alignments_in_step_equal_those_cell_by_cell():
+    r = random.Random(8)
+    for letters in (2, 3, 40):
+        for _ in range(25):
+            t = np.array([r.randint(0, letters) for _ in range(r.randint(3, 30))], np.uint64)
+            x = np.array([r.randint(0, letters) for _ in range(r.randint(1, 60))], np.uint64)
+            band = r.randint(1, 8)
+            at = np.arange(-len(t) - 2, len(x) + 3)
+            assert [tuple(b) for b in licenses.align_all(t, x, at, band).tolist()] == [cell_by_cell(t, x, d, band) for d in at.tolist()]
+
+
+def test_many_license_headers_in_one_text():
+    names, text = [], ""
+    for k in range(300):
+        name = ("gpl-3.0-header", "gpl-2.0-header", "mpl-2.0-header")[k % 3]
+        names.append(name)
+        text += f" file {k} " + licenses.TEMPLATES[name]
+    start = time.monotonic()
+    found = licenses.scan(text, licenses.Index(licenses.TEMPLATES), licenses.Words())
+    assert time.monotonic() - start < 10
+    assert [f[0] for f in found] == names and all(f[5] == 1.0 for f in found)
+
+
+def test_matches_that_overlap_no_better_one_stay():
+    r = random.Random(9)
+    for _ in range(50):
+        rows = [(0, a, a + r.randint(1, 9), k) for k, a in enumerate(r.choices(range(60), k=30))]
+        kept = []
+        for row in rows:
+            if all(row[2] <= k[1] or row[1] >= k[2] for k in kept):
+                kept.append(row)
+        assert licenses._apart(rows) == sorted(kept, key=lambda k: k[1])
+
+
+def test_license_columns_with_clashing_names(spark):
+    docs = table(spark, ["x " + licenses.TEMPLATES["isc"]]).withColumn("license", F.lit("l")).withColumn("start", F.lit("s")).withColumn("a.b", F.lit(1))
+    assert [(r["doc_id"], r["license"]) for r in licenses.find(spark, docs).collect()] == [(0, "isc")]
+
+
 def test_winnowing_guarantee():
     r = random.Random(8)
     for _ in range(100):
@@ -763,6 +827,20 @@ def invalid(spark, *texts):
     return spark.sql(f"select *, 'en' as lang, 's' as source, 1L as n_chars from ({rows})")
 
 
+def test_stages_keep_columns_with_dots_in_their_names(spark):
+    docs = table(spark, ["good words here 12", "mail me at a@b.org", None, ""]).withColumnRenamed("lang", "a.b").withColumn("c`d.e", F.lit(3)).withColumn("f.g", F.struct(F.lit(1).alias("h.i")))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(4)], "doc_id long, quality int")
+    kept = quality.keep_good(spark, docs, labels)
+    assert kept.schema == docs.schema and kept.count() in range(5)
+    clean = pii.redact(spark, docs)
+    assert clean.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"], r["a.b"], r["c`d.e"], r["f.g"]["h.i"]) for r in clean.where("text like '%mail%'").collect()) == [(1, "mail me at [EMAIL]", "en", 3, 1)]
+    for stage in (near.one_of_each, mixing.mixed_documents):
+        out = stage(spark, docs)
+        assert out.columns == docs.columns and out.count() > 0
+    assert packing.pack(spark, docs).count() == 4
+
+
 def test_near_of_bytes_that_are_no_text(spark):
     words = prose(random.Random(1), 40).encode()
     got = {r["doc_id"]: r["class_id"] for r in near.join(spark, invalid(spark, words + b" \xff", words + b" \xfe", words, b"\xff\xff")).collect()}
