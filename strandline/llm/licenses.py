@@ -133,6 +133,25 @@ def band_of(template: np.ndarray) -> int:
     return max(1, min(BAND, len(template) // 4))
 
 
+def _stretches(template: np.ndarray, text: np.ndarray, diagonals: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each diagonal the places of the text that its band covers, whether the text has
+    them, and the words there."""
+    place = diagonals[:, None] - band + np.arange(len(template) + 2 * band)
+    within = (place >= 0) & (place < len(text))
+    return place, within, text[np.where(within, place, 0)]
+
+
+def _present(template: np.ndarray, text: np.ndarray, diagonals: np.ndarray, band: int) -> np.ndarray:
+    """How many of the template's words stand anywhere in each diagonal's stretch of the text."""
+    _, within, words = _stretches(template, text, diagonals, band)
+    known, times = np.unique(template, return_counts=True)
+    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+    line, column = np.nonzero(within & (known[at] == words))
+    there = np.zeros((len(diagonals), len(known)), bool)
+    there[line, at[line, column]] = True
+    return there @ times
+
+
 def align_all(template: np.ndarray, text: np.ndarray, diagonals: np.ndarray, band: int = BAND) -> np.ndarray:
     """For each diagonal the best local alignment within ``band`` of ``text place - template
     place = diagonal``: score, matched words, first and last text place (end exclusive).
@@ -142,13 +161,13 @@ def align_all(template: np.ndarray, text: np.ndarray, diagonals: np.ndarray, ban
     of equal ends the first.
     """
     width = 2 * band + 1
-    k = np.arange(width)
+    k, lines = np.arange(width), np.arange(len(diagonals))[:, None]
+    place, within, words = _stretches(template, text, diagonals, band)
     score, matches, start = (np.full((len(diagonals), width + 1), x, np.int64) for x in (0, 0, -1))
     best = np.zeros((len(diagonals), 4), np.int64)
     for i in range(len(template)):
-        j = i + diagonals[:, None] + k - band
-        inside = (j >= 0) & (j < len(text))
-        same = inside & (text[np.where(inside, j, 0)] == template[i])
+        j, inside = place[:, i : i + width], within[:, i : i + width]
+        same = inside & (words[:, i : i + width] == template[i])
         now = score[:, :-1] + np.where(same, MATCH, MISS)
         matched = matches[:, :-1] + same
         first = np.where(same & (score[:, :-1] == 0), j, start[:, :-1])
@@ -159,12 +178,12 @@ def align_all(template: np.ndarray, text: np.ndarray, diagonals: np.ndarray, ban
         now[none], matched[none], first[none] = 0, 0, -1
         # gaps along the row: the best earlier cell less its distance; of equal ones the nearest
         source = np.maximum.accumulate((now - GAP * k) * width + k, 1) % width
-        now = np.take_along_axis(now, source, 1) + GAP * (k - source)
+        now = now[lines, source] + GAP * (k - source)
         now[~inside] = 0
         some = now > 0
         score[:, :-1] = now
-        matches[:, :-1] = np.where(some, np.take_along_axis(matched, source, 1), 0)
-        start[:, :-1] = np.where(some, np.take_along_axis(first, source, 1), -1)
+        matches[:, :-1] = np.where(some, matched[lines, source], 0)
+        start[:, :-1] = np.where(some, first[lines, source], -1)
         end = now.argmax(1)
         row = np.flatnonzero(now[np.arange(len(now)), end] > best[:, 0])
         at = end[row]
@@ -212,9 +231,10 @@ def scan(text: str, index: Index, words: Words, coverage: float = COVERAGE) -> l
     for t, every in candidates.items():
         w = index.words[t]
         band = band_of(w)
-        enough = [d for d in every if np.isin(w, h[max(0, d - band) : max(0, d + len(w) + band)]).sum() >= coverage * len(w)]
-        for at in range(0, len(enough), TOGETHER):
-            found = align_all(w, h, np.array(enough[at : at + TOGETHER]), band).tolist()
+        for at in range(0, len(every), TOGETHER):
+            some = np.array(every[at : at + TOGETHER])
+            some = some[_present(w, h, some, band) >= coverage * len(w)]
+            found = align_all(w, h, some, band).tolist()
             rows += [(matched, a, b, index.names[t], len(w), score) for score, matched, a, b in found if score > 0 and matched >= coverage * len(w)]
     rows.sort(key=lambda r: (-r[5], r[1], r[3]))
     kept = _apart(rows)
