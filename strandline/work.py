@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+_own = threading.local()  # what a thread made inside ``removed_after``
 _local: dict[str, str] = {}
 
 
@@ -34,6 +38,8 @@ def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder; it is removed when the driver ends."""
     path = f"{root(spark)}/strandline-{uuid.uuid4().hex}/{label}"
     _made.append((spark, path))
+    if (inner := getattr(_own, "made", None)) is not None:
+        inner.append((spark, path))
     return path
 
 
@@ -56,6 +62,20 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+@contextmanager
+def removed_after() -> Iterator[None]:
+    """Removes the work tables that this thread makes inside, when it leaves. Only for work
+    whose results are written elsewhere by then."""
+    outer, _own.made = getattr(_own, "made", None), []
+    try:
+        yield
+    finally:
+        inner, _own.made = _own.made, outer
+        for spark, path in inner:
+            remove(spark, path)
+            _made.remove((spark, path))
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _made:

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from strandline import work
 from strandline.operators import assign, clusters, components, depth, filtering, preprocess, prune, scoring
 from strandline.plans import catalog, pipelines
 from strandline.sources import fixtures, text
@@ -372,3 +373,28 @@ def test_a_name_with_many_records_pairs_its_first_two(spark):
 
 def test_regions_header():
     assert text.HEADERS["regions"].split("\t")[5:7] == [" LeftChr:", "RightChr:"]
+
+
+def test_batches_cluster_only_what_they_touch(spark, tmp_path):
+    path, r = str(tmp_path / "t"), random.Random(3)
+    rows = [_deletion(f"p{k:03}", 1000 + r.randrange(12) * 400 + r.randrange(60), 9000 + r.randrange(60), chr_r=r.choice((1, 1, 2))) for k in range(160)]
+    r.shuffle(rows)
+    pick = ["cluster_id", "num_prs", "type", "left_min", "left_max", "right_min", "right_max"]
+    for k in range(4):
+        for _ in range(1 + (k == 2)):  # one batch is replayed
+            ingest.apply_batch(_pile(spark, rows[40 * k : 40 * k + 40]), k, path, min_size=2)
+        want = clusters.size_filter(clusters.summarize(clusters.cluster_members(clusters.valid_pairs(_pile(spark, rows[: 40 * k + 40])))), 2)
+        got = ingest.read_clusters(spark, path)
+        assert got.columns == want.columns
+        assert sorted(map(tuple, got.select(*pick).collect())) == sorted(map(tuple, want.select(*pick).collect()))
+    far = [_deletion(f"q{k}", 900_000 + k, 990_000) for k in range(3)]
+    made = len(work._made)
+    ingest.apply_batch(_pile(spark, far), 4, path, min_size=2)
+    assert len(work._made) == made  # its work tables are gone
+    log = spark.read.parquet(f"{path}/members/batch=4")
+    assert log.count() == 3 and spark.read.parquet(f"{path}/calls/batch=4").where("gone").count() == 0
+    bridge = [_deletion("a0", 900_001, 990_000), _deletion("a1", 900_002, 990_001, chr_r=2)]
+    ingest.apply_batch(_pile(spark, bridge), 5, path, min_size=2)
+    assert spark.read.parquet(f"{path}/members/batch=5").count() == 5
+    named = {x.cluster_id: x.num_prs for x in ingest.read_clusters(spark, path).collect()}
+    assert named["a0"] == 4 and "q0" not in named and "a1" not in named
