@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import geometry as g
-from strandline.functions.once import with_once
+from strandline.functions.once import merged, with_once
 from strandline.operators.depth import range_join
 
 C = F.col
@@ -49,7 +49,7 @@ def cgh_pair_join(cgh: DataFrame, clusters: DataFrame, min_size: int = 4) -> Dat
     b = range_join(c.select("cluster_id", C("chr_r").alias("chr"), C("b_min").alias("start"), C("b_max").alias("end")), seg, "open", levels=5)
     a = a.select("cluster_id", C("r_cgh_id").alias("cgh_id1"), C("r_start").alias("x0"), C("r_end").alias("x1"))
     b = b.select("cluster_id", C("r_cgh_id").alias("cgh_id2"), C("r_start").alias("y0"), C("r_end").alias("y1"))
-    both = a.join(b, "cluster_id").join(c.select("cluster_id", "same", *g.BOUNDS), "cluster_id")
+    both = a.join(merged(b), "cluster_id").join(merged(c.select("cluster_id", "same", *g.BOUNDS)), "cluster_id")
     k = g.closed_bounds()
     cut = both.select("cgh_id1", "cgh_id2", "cluster_id", "same", F.greatest("x0", k["a_lo"]).alias("a_lo"), F.least("x1", k["a_hi"]).alias("a_hi"), F.greatest("y0", k["b_lo"]).alias("b_lo"), F.least("y1", k["b_hi"]).alias("b_hi"), "s0", "s1")
     return cut.where(g.region_area() > 0).select("cgh_id1", "cgh_id2", "cluster_id")
