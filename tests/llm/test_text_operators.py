@@ -760,6 +760,18 @@ def test_long_documents_have_several_graphs():
         assert pii.added_spans(numbers, [], f, size=20_000) == []
 
 
+def test_evidence_of_a_segment_counts_once(monkeypatch):
+    """A document of one segment has one graph whatever its length: white space does not change it."""
+    f, sizes = pii.model(), []
+    graph = pii.graph
+    monkeypatch.setattr(pii, "graph", lambda tokens, *more: (sizes.append(len(tokens)), graph(tokens, *more))[1])
+    text = "call +1 (017) 555-7713 or (017) 555-7713 x"
+    base_ = pii.base_spans(text)
+    assert base_
+    short = pii.added_spans(text, base_, f, size=1000)
+    assert pii.added_spans(text + " " * 2000, base_, f, size=1000) == short and sizes[0] == sizes[1]
+
+
 def test_personal_data_in_bytes_that_are_no_text(spark):
     docs = invalid(spark, b"\xff mail bob77@host.example.com", b"\xfe nothing")
     by = {r["doc_id"]: r for r in pii.spans(spark, docs).collect()}
